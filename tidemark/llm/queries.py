@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepieces, token_counts
+from . import language_id, sentencepieces, token_counts, toxicity
 from ._common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -16,10 +17,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.vocabulary_from_sentencepiece(PIECES))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; profiles from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.fit_not_held_out(docs)
+    return language_id.predict(docs, profiles).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, grade, expected_severity, p_toxic, toxic of every document. The labels know two grades, 0 and 1."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return toxicity.predict(docs, toxicity.fit(docs, labels, n_grades=2, penalty=0.2))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip of every document."""
     return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load_pieces(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece)}
 ORACLE: dict[str, str] = {}
