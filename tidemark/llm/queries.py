@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepieces, token_counts, toxicity
+from . import language_id, sentencepieces, simhash, token_counts, toxicity
 from ._common import table
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 2 or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, tau=2)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.vocabulary_from_sentencepiece(PIECES))
@@ -36,5 +41,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load_pieces(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece)}
 ORACLE: dict[str, str] = {}
