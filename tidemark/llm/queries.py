@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepieces, simhash, token_counts, toxicity
+from . import language_id, sentencepieces, simhash, token_counts, toxicity, warc
 from ._common import table
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, written to archives and read back."""
+    back = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+n AS (SELECT p.*, first, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(p.h, CAST(i AS INT) + 1, 1)) - 1) AS d FROM p JOIN f ON p.h = f.h)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((16 * d[5 * i // 4 + 1] + d[5 * i // 4 + 2]) >> (3 - (5 * i) % 4)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM n
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 2 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, tau=2)
@@ -41,5 +59,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load_pieces(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece)}
+ORACLE: dict[str, str] = {"op1_warc": OP1_SQL}
