@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepieces, simhash, token_counts, toxicity, warc
+from . import language_id, preferences, sentencepieces, simhash, token_counts, toxicity, warc
 from ._common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -30,6 +30,36 @@ FROM n
 """
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a preference pair against itself with its neighbour's last answer: pair_id, n_prompt_turns,
+    prompt, chosen, rejected and the spans to learn from as start-end;..."""
+    chosen, rejected = preferences.swapped_answers(table(spark, sf_dir, "conversations"))
+    out = preferences.format_preferences(chosen, rejected)
+    return out.withColumns({c: preferences.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+OP2_SQL = """
+WITH c AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+last AS (SELECT pair_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) AS k FROM c WHERE role = 'assistant') q WHERE k = 1),
+r AS (SELECT c.* FROM c LEFT JOIN last l ON c.pair_id = l.pair_id WHERE l.turn IS NULL OR c.turn < l.turn
+  UNION ALL SELECT l.pair_id, l.turn, 'assistant', o.text FROM last l JOIN last o ON o.pair_id = xor(l.pair_id, CAST(1 AS BIGINT))),
+cn AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS k FROM c),
+rn AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS k FROM r),
+differ AS (SELECT coalesce(cn.pair_id, rn.pair_id) AS pair_id, min(coalesce(cn.k, rn.k)) AS first FROM cn FULL JOIN rn ON cn.pair_id = rn.pair_id AND cn.k = rn.k
+  WHERE cn.k IS NULL OR rn.k IS NULL OR cn.role <> rn.role OR cn.text <> rn.text GROUP BY 1),
+sides AS (SELECT 'c' AS side, * FROM cn UNION ALL SELECT 'r' AS side, * FROM rn),
+t AS (SELECT s.*, first, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS out, s.k < coalesce(first, s.k + 1) AS shared FROM sides s LEFT JOIN differ d ON s.pair_id = d.pair_id),
+m AS (SELECT *, coalesce(sum(CASE WHEN shared THEN 0 ELSE length(out) END) OVER (PARTITION BY pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 13 AS pos FROM t)
+SELECT pair_id, count(*) FILTER (WHERE side = 'c' AND shared) AS n_prompt_turns,
+  coalesce(string_agg(out, '' ORDER BY k) FILTER (WHERE side = 'c' AND shared), '') AS prompt,
+  coalesce(string_agg(out, '' ORDER BY k) FILTER (WHERE side = 'c' AND NOT shared), '') AS chosen,
+  coalesce(string_agg(out, '' ORDER BY k) FILTER (WHERE side = 'r' AND NOT shared), '') AS rejected,
+  coalesce(string_agg(CAST(pos AS BIGINT) || '-' || CAST(pos + length(text) + 11 AS BIGINT), ';' ORDER BY k) FILTER (WHERE side = 'c' AND NOT shared AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(CAST(pos AS BIGINT) || '-' || CAST(pos + length(text) + 11 AS BIGINT), ';' ORDER BY k) FILTER (WHERE side = 'r' AND NOT shared AND role = 'assistant'), '') AS rejected_spans
+FROM m GROUP BY pair_id
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 2 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, tau=2)
@@ -59,5 +89,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load_pieces(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece)}
-ORACLE: dict[str, str] = {"op1_warc": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_preferences, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece)}
+ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op2_preferences": OP2_SQL}
