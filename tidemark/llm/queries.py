@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_neighbours, language_id, preferences, sentencepieces, simhash, token_counts, toxicity, warc
+from . import decontamination, embedding_neighbours, language_id, preferences, sentencepieces, simhash, token_counts, toxicity, warc
 from ._common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -94,5 +94,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_preferences, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece, op9_embeddings)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score, start, end of every passage of a benchmark item in a document."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_preferences, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece, op9_embeddings, op10_decontamination)}
 ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op2_preferences": OP2_SQL}
