@@ -10,6 +10,8 @@ leave nothing behind. Each record is a gzip member of its own, as is usual for .
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import uuid
 import zlib
@@ -23,8 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ._common import scratch, small_batches
 
-#: Columns of a read record. The header columns are those that predicates are pushed to.
-SCHEMA = "file string, offset long, warc_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, refers_to string, content_length long, headers map<string,string>, http_headers map<string,string>, payload binary"
+#: Columns of a read record; payload_bytes and payload_sha1 (base32) are of the payload as read. The header columns are those that predicates are pushed to.
+SCHEMA = "file string, offset long, warc_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, refers_to string, content_length long, headers map<string,string>, http_headers map<string,string>, payload_bytes long, payload_sha1 string, payload binary"
 HEADER_COLUMNS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 #: Columns of a record to write; payload is the block, http_headers (or null) is put before it as an HTTP response.
 WRITE_SCHEMA = "warc_type string, record_id string, target_uri string, date string, content_type string, payload_digest string, refers_to string, headers map<string,string>, http_headers map<string,string>, payload binary"
@@ -164,7 +166,7 @@ class WarcReader(DataSourceReader):
 
     def __init__(self, options):
         self.path = options["path"]
-        self.payloads = options.get("payloads", "true").lower() == "true"
+        self.payloads = options.get("payloads", "true").lower()
         self.partition_bytes = int(options.get("partitionBytes", 32 << 20))
         self.filters: list[Filter] = []
 
@@ -227,12 +229,14 @@ class WarcReader(DataSourceReader):
                 block = source.block(n)
                 head, _, payload = block.partition(b"\r\n\r\n")
                 http = parse_header(head)[1]
-                payload = payload if self.payloads else None
-            elif self.payloads:
+            elif self.payloads != "false":
                 payload = source.block(n)
             else:
                 source.skip(n)
-            yield (path, at, *(fields.get(h) for h in HEADER_COLUMNS.values()), n, list(fields.items()), None if http is None else list(http.items()), payload)
+            size = sha1 = None
+            if self.payloads != "false":
+                size, sha1 = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            yield (path, at, *(fields.get(h) for h in HEADER_COLUMNS.values()), n, list(fields.items()), None if http is None else list(http.items()), size, sha1, payload if self.payloads == "true" else None)
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
@@ -317,7 +321,7 @@ class WarcWriter(DataSourceArrowWriter):
 class WarcDataSource(DataSource):
     """spark.read.format("warc").load(path) and df.write.format("warc").save(path).
 
-    Read options: payloads (false: none is decoded), partitionBytes. Write options: compression (gzip or none), level, fileBytes.
+    Read options: payloads (true; digest: only their length and SHA-1 are returned; false: none is decoded), partitionBytes. Write options: compression (gzip or none), level, fileBytes.
     """
 
     @classmethod
@@ -340,18 +344,16 @@ def register(spark: SparkSession) -> None:
     small_batches(spark)
 
 
-def base32_sha1(payload):
-    """Column: upper-case base32 of the SHA-1 of a binary column; five bits from each pair of hex digits."""
-    digits = F.sha1(payload)
+def base32(digits):
+    """Column: upper-case base32 of a column of 40 hex digits; five bits from each pair of neighbouring digits."""
     nibble = lambda at: F.instr(F.lit("0123456789abcdef"), F.substr(digits, at + 1, F.lit(1))) - 1
 
-    def letter(i):
-        at = F.floor(i * 5 / 4).cast("int")
-        pair = nibble(at) * 16 + nibble(at + 1)
-        shifted = F.floor(pair / F.element_at(F.array(*[F.lit(8), F.lit(4), F.lit(2), F.lit(1)]), ((i * 5) % 4 + 1).cast("int"))).cast("int")
-        return F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), shifted.bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    def letter(i: int):
+        at, shift = F.lit(5 * i // 4), 3 - 5 * i % 4
+        bits = F.shiftright(nibble(at) * 16 + nibble(at + 1), shift).bitwiseAND(F.lit(31))
+        return F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), bits + 1, F.lit(1))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    return F.concat(*[letter(i) for i in range(32)])
 
 
 def page_records(pages: DataFrame, payload_col: str = "html", id_col: str = "page_id", uri_col: str = "url", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -362,7 +364,7 @@ def page_records(pages: DataFrame, payload_col: str = "html", id_col: str = "pag
     Repeated payloads are found by an aggregation of digests alone, and only a digest that repeats takes part in the join.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"))
-    p = p.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
+    p = p.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     again = p.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
     j = p.join(again, "sha", "left")
     revisit = (F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
@@ -374,7 +376,7 @@ def page_records(pages: DataFrame, payload_col: str = "html", id_col: str = "pag
         F.col("uri").alias("target_uri"),
         F.lit(date).alias("date"),
         F.lit("application/http; msgtype=response").alias("content_type"),
-        F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))).alias("payload_digest"),
+        F.concat(F.lit("sha1:"), base32(F.col("sha"))).alias("payload_digest"),
         F.when(revisit, urn(F.col("first"))).alias("refers_to"),
         F.when(revisit, pair("WARC-Profile", F.lit(REVISIT))).alias("headers"),
         F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.col("size").cast("string")).alias("http_headers"),
@@ -393,12 +395,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     Length and digest of a response are those of the payload as read back; a revisit has them in its headers.
     """
     register(spark)
-    r = spark.read.format("warc").load(path).where(F.col("warc_type").isin("response", "revisit"))
+    r = spark.read.format("warc").option("payloads", "digest").load(path).where(F.col("warc_type").isin("response", "revisit"))
     full = F.col("warc_type") == "response"
     return r.select(
         F.expr("try_cast(nullif(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1), '') as bigint)").alias("page_id"),
-        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("http_headers")["content-length"].cast("long")).alias("payload_bytes"),
-        F.when(full, base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        F.when(full, F.col("payload_bytes")).otherwise(F.col("http_headers")["content-length"].cast("long")).alias("payload_bytes"),
+        F.when(full, F.col("payload_sha1")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
         F.expr("try_cast(nullif(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+)>$', 1), '') as bigint)").alias("refers_to"),
         "target_uri",
