@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_neighbours, language_id, preferences, sentencepieces, simhash, token_counts, toxicity, warc
+from . import decontamination, embedding_neighbours, language_id, passages, preferences, sentencepieces, simhash, token_counts, toxicity, warc
 from ._common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -89,6 +89,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load_pieces(PIECES))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares with an earlier one: doc_id, start, end, other_id, other_start,
+    other_end, n_words, similarity."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector: links at cosine >= 0.95."""
     return embedding_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
@@ -99,5 +105,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_preferences, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece, op9_embeddings, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_preferences, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece, op8_passages, op9_embeddings, op10_decontamination)}
 ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op2_preferences": OP2_SQL}
