@@ -157,21 +157,21 @@ class RankClassifier:
         return self.langs[best], 1.0 - float(distance[best]) / (self.size * len(at))
 
 
-def predict(df: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None, profile_size: int = 300, n_max: int = 3) -> DataFrame:
-    """The columns `keep` of each row, then lang_pred and score (0 to 1), from its whole text alone. No shuffle.
+def predict(df: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None, profile_size: int = 300, n_max: int = 3, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of each row, then language and score (0 to 1) under `names`, from its whole text alone. No shuffle.
 
     "und" with score 0 where the text is null or has no letter, or nothing was learned. Repeated rows repeat.
     """
     small_batches(df.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     src = df.select(df[text_col].alias("_text"), *[df[c] for c in keep])
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = RankClassifier(profiles, profile_size, n_max)
         for b in batches:
             got = [classify.predict(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *names])
 
     return src.mapInArrow(run, schema)
 
