@@ -29,14 +29,14 @@ def range_of(bounds: list, col: Column, kind) -> Column:
     """Number of bounds at or below a value, by bisection over a literal array."""
     if not bounds:
         return F.lit(0)
-    array = F.array(*[F.lit(b).cast(kind) for b in bounds])
-    out = F.lit(0)
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        nxt = out + step
-        out = F.when((nxt <= len(bounds)) & (F.get(array, F.least(nxt, F.lit(len(bounds))) - 1) <= col), nxt).otherwise(out)
-        step //= 2
-    return out
+    array, n = F.array(*[F.lit(b).cast(kind) for b in bounds]), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def step(at: Column, by: Column) -> Column:
+        further = (at + by <= n) & (F.get(array, F.least(at + by, F.lit(n)) - 1) <= col)
+        return F.when(further, at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def asof(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key", direction: str = "backward", ranges: int | None = None) -> DataFrame:
