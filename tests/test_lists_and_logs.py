@@ -48,6 +48,11 @@ def test_ends(spark):
     assert lists(table(spark, {}).push_back(one)) == {7: [2]} and table(spark, {}).is_empty() and pair.clear().is_empty()
 
 
+def test_positions_from_distances(spark):
+    df = spark.createDataFrame([(1, 0, 1, 10), (1, 1, 2, 11), (1, 2, 1, 12)], "l long, o long, d long, v long")
+    assert sorted(tuple(r) for r in ListTable.from_distances(df, "l", ["o"], "d", "v").df.collect()) == [(1, 0, 10), (1, 1, 11), (1, 3, 12)]
+
+
 def test_out_of_range(spark):
     t = table(spark, {7: [1, 2]})
     none = spark.createDataFrame([(8,)], "list_id long")

@@ -19,6 +19,12 @@ class ListTable:
         w = Window.partitionBy(list_id).orderBy(*order)
         return cls(df.select(F.col(list_id).alias("list_id"), (F.row_number().over(w) - 1).alias("pos"), F.col(value).alias("value")))
 
+    @classmethod
+    def from_distances(cls, df: DataFrame, list_id: str, order: list[str], distance: str, value: str) -> ListTable:
+        """Lists from elements that tell how many places on the next one is: positions are prefix sums of the distances."""
+        w = Window.partitionBy(list_id).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return cls(df.select(F.col(list_id).alias("list_id"), F.coalesce(F.sum(distance).over(w), F.lit(0)).alias("pos"), F.col(value).alias("value")))
+
     def _new(self, df: DataFrame) -> ListTable:
         out = ListTable.__new__(ListTable)
         out.df = df.select("list_id", "pos", "value")

@@ -143,6 +143,10 @@ class LogStore:
     def _read(self, runs) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[r.path for r in runs]) if runs else self.spark.createDataFrame([], self.schema)
 
+    def scan_run(self, run: Run) -> DataFrame:
+        """All entries of one run, tombstones included, in key order."""
+        return self._read([run]).orderBy("key")
+
     def log(self) -> DataFrame:
         """Every version held or written, as of now: the runs are immutable, so later commits don't change it."""
         return reduce(DataFrame.union, self._held, self._read(self.manifest.runs))
