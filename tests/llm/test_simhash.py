@@ -83,3 +83,56 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame([*pairs, (None, 1), (7, None)], "a long, b long")).collect()}
     want = union_find(400, pairs)
     assert got == {i: want[i] for p in pairs for i in p if p[0] != p[1]}
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 11, 12, 13, 100, 5000):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        assert simhash.bit_counts(h).tolist() == [int((h >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_against_brute_force(spark):
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(2000)]
+    docs = {}
+    for i in range(70):
+        base = rnd.choices(vocab, k=rnd.randint(60, 400))
+        docs[5 * i] = base
+        for j in range(1, 4):
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, len(w) // 200, len(w) // 100, len(w) // 50, len(w) // 20])):
+                w[rnd.randrange(len(w))] = "edit"
+            docs[5 * i + j] = w
+    text = {k: " ".join(w) for k, w in docs.items()}
+    df = spark.createDataFrame([(k, t, 1) for k, t in text.items()] + [(None, text[0], 1), (9000, None, 1), (9001, "", 1)], "doc_id long, text string, fps int")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    ids = sorted(text)
+    close = {(a, b): jaccard(text[a], text[b]) for a in ids for b in ids if a < b and a // 5 == b // 5}
+    roots = {}
+    for least in (0.77, 0.83):
+        at = {k: i for i, k in enumerate(ids)}
+        root = union_find(len(ids), [(at[a], at[b]) for (a, b), j in close.items() if j >= least])
+        roots[least] = {k: ids[root[at[k]]] for k in ids}
+    assert all(roots[0.77][got[k]] == roots[0.77][k] for k in ids)  # nothing that is surely unlike is together
+    missed = [k for k in ids if roots[0.83][k] != got[k] and roots[0.77][k] == roots[0.83][k]]
+    assert len(missed) <= 0.05 * len(ids) and sum(roots[0.83][k] != k for k in ids) > 60
+    assert got[None] == 0 and got[9000] == got[9001] == 9000
+    assert simhash.similar(df.limit(0)).count() == 0
+
+
+def test_similar_in_one_large_group(spark):
+    rnd = random.Random(8)
+    base = rnd.choices([f"w{i}" for i in range(500)], k=300)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[rnd.randrange(300)] = f"x{i}"
+        rows.append((i + 1, " ".join(w)))
+    got = {r.component_id for r in simhash.similar(spark.createDataFrame([(0, " ".join(base)), *rows], "doc_id long, text string")).collect()}
+    assert got == {0}

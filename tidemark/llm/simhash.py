@@ -14,6 +14,7 @@ those that share a key are linked in a star. A key has no more members than a ba
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 
 from ._common import cut, small_batches
 from .components import components
+from .hashed_words import mix
 
 FOLD = 16  # bits of a partition value that the histogram of candidate counts keeps
 BUCKET = 32  # distinct fingerprints in a bucket beyond which it is linked through balls
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash, unsigned, of a text's word shingles, repeats included; 0 for none.
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included.
 
     A-Z is lower-cased, words are runs of other than ASCII white space; fewer words than a shingle are one shingle.
     """
@@ -39,19 +41,39 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        h = np.array(hashes[i : i + (1 << 16)], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers have each of the 64 bits. Full adders turn three numbers into a sum and a carry of twice the
+    weight, all bits at once, until few numbers of each weight are left."""
+    out, weight = np.zeros(64, np.int64), 1
+    while len(h):
+        carries = []
+        while len(h) >= 12:
+            k = len(h) // 3
+            a, b, c = h[:k], h[k : 2 * k], h[2 * k : 3 * k]
+            x = a ^ b
+            carries.append((a & b) | (x & c))
+            h = np.concatenate([x ^ c, h[3 * k :]])
+        out += weight * _bits(h).sum(axis=0, dtype=np.int64)
+        h, weight = np.concatenate(carries) if carries else h[:0], 2 * weight
+    return out
+
+
+def _majority(h: np.ndarray) -> int:
+    return int(np.packbits(bit_counts(h) * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash, unsigned: a bit is 1 if over half of the shingles' hashes have it; 0 for a text without words."""
+    return _majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -93,25 +115,36 @@ def correlated_groups(corr: np.ndarray, sizes: list[int]) -> list[list[int]]:
     return groups
 
 
-def _bit_groups(distinct: DataFrame, parts: int) -> list[list[int]]:
-    """Groups from the correlation of all pairs of bits over all distinct fingerprints; 64 x 64 sums reach the driver."""
+def _words_of(b: pa.RecordBatch, words: int) -> np.ndarray:
+    """(rows, words) of a batch whose first column is an array of longs."""
+    return np.array(b.column(0).flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(b.num_rows, words)
+
+
+def _bit_groups(distinct: DataFrame, parts: int, words: int = 1) -> list[list[list[int]]]:
+    """For each word of fingerprints (an array column, the only one) its bits in groups, from the correlation of all pairs of bits
+    over all rows. What reaches the driver is 64 x 64 sums for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64))
+        total, n = np.zeros((words, 64, 64)), 0
         for b in batches:
-            x = _bits(_fp(b)).astype(np.float32)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(total.ravel().astype(np.int64))], ["cell", "n"])
-
-    sums = distinct.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    both = np.zeros(4096)
+            fp = _words_of(b, words)
+            n += len(fp)
+            for w in range(words):
+                x = _bits(np.ascontiguousarray(fp[:, w])).astype(np.float32)
+                total[w] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), n).astype(np.int64))], ["cell", "n"])
+
+    sums = distinct.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    both = np.zeros(words * 4096 + 1)
     both[sums["cell"]] = sums["n"]
-    both = both.reshape(64, 64)
-    n = max(1, distinct.count())
-    p = np.diag(both) / n
-    cov = both / n - np.outer(p, p)
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    return correlated_groups(cov / np.outer(sd, sd), [64 // parts + (i < 64 % parts) for i in range(parts)])
+    n = max(1.0, both[-1])
+    out = []
+    for pair in both[:-1].reshape(words, 64, 64) / n:
+        p = np.diag(pair)
+        cov = pair - np.outer(p, p)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        out.append(correlated_groups(cov / np.outer(sd, sd), [64 // parts + (i < 64 % parts) for i in range(parts)]))
+    return out
 
 
 def _part_values(fp: np.ndarray, groups: list[list[int]]) -> list[np.ndarray]:
@@ -215,21 +248,23 @@ def _ball_links(fps: DataFrame, tau: int) -> DataFrame:
     return stars.select("a", F.explode("members").alias("b")).where("a <> b")
 
 
+def _even_cost(n: int, parts: int, tau: int) -> float:
+    """Expected probes and candidates of each of n uniform fingerprints when the units are shared out evenly."""
+    width, extra = 64 // parts, (tau + 1) % parts
+    each = [(tau + 1) // parts + (i < extra) for i in range(parts)]
+    return sum(sum(comb(width, d) for d in range(u)) * (1 + n / 2.0**width) for u in each)
+
+
 def links(distinct: DataFrame, tau: int = 2, parts: int | None = None) -> DataFrame:
     """(a, b) links among distinct fingerprints (a column fp, computed once beforehand) within tau bits.
 
     Every fingerprint within tau of another is linked to it, directly or through a star whose links all hold. parts:
     partitions of the bits; by default as many as keep probes and uniform candidates fewest.
     """
-    n = distinct.count()
-    if parts is None:  # expected probes and candidates of an even allocation over uniform fingerprints
-        def cost(m: int) -> float:
-            w, extra = 64 // m, (tau + 1) % m
-            each = [(tau + 1) // m + (i < extra) for i in range(m)]
-            return sum(sum(comb(w, d) for d in range(u)) * (1 + n / 2.0**w) for u in each)
-
-        parts = min((2, 3, 4), key=cost)
-    groups = _bit_groups(distinct, parts)
+    if parts is None:
+        n = distinct.count()
+        parts = min((2, 3, 4), key=lambda m: _even_cost(n, m, tau))
+    groups = _bit_groups(distinct.select(F.array("fp")), parts)[0]
     hist = _histogram(distinct, groups)
     index, probes = cut(_keyed(distinct, groups, None, tau)), cut(_keyed(distinct, groups, hist, tau))
     hot = cut(index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("part", "value"))
@@ -243,6 +278,67 @@ def links(distinct: DataFrame, tau: int = 2, parts: int | None = None) -> DataFr
     return cold.union(_ball_links(crowded, tau)).distinct()
 
 
+# wider fingerprints, for similarities that 64 bits cannot tell
+
+
+def wide_fingerprint(text: str | None, words: int, shingle: int = 5) -> np.ndarray:
+    """`words` independent 64-bit SimHashes of one text's shingles."""
+    h = shingle_hashes(text, shingle)
+    return np.array([_majority(mix(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) if len(h) else 0 for k in range(1, words + 1)], np.uint64)
+
+
+def differing_share(jaccard: float) -> float:
+    """Share of bits in which fingerprints of equally long texts differ whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+
+
+def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, words: int = 16, tau: int = 2) -> DataFrame:
+    """(id, component_id) of each row of df: components of documents whose `shingle`-word shingles have a Jaccard similarity
+    of `similarity` or more, as fingerprints of 64 * words bits tell it (with 1,024 bits to about 0.02).
+
+    Candidates meet in the partitions of each 64-bit word, probed as in links() with tau + 1 units for each word: certainly if
+    they differ in at most tau bits of any one word, and by any equal partition of 21 bits. With 16 words that finds 99 % of
+    pairs of similarity 0.9, 93 % at 0.85 and 80 % at 0.8, besides what is linked through third documents. Of a value that
+    more than BUCKET classes share, each is compared with two of them, the first by id and the first by hash, so work is linear in a
+    group's size. Copies are one class. Null and empty texts are alike; a null id is in no component (null) unless its text has others.
+    """
+    small_batches(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([wide_fingerprint(t, words, shingle) for t in b.column(1).to_pylist()], np.uint64).reshape(b.num_rows, words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, fp.size + 1, words, dtype=np.int32), pa.array(fp.ravel().view(np.int64)))], ["id", "fps"])
+
+    fps = cut(df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, fps array<long>"))
+    classes = cut(fps.groupBy("fps").agg(F.min("id").alias("cid")).where("cid is not null"))
+    n = classes.count()
+    parts = min((2, 3, 4), key=lambda m: _even_cost(n, m, tau))
+    groups = _bit_groups(classes.select("fps"), parts, words)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = _words_of(b, words)
+            for w in range(words):
+                for i, v in enumerate(_part_values(np.ascontiguousarray(fp[:, w]), groups[w])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), w * parts + i, np.int32)), pa.array(v), b.column(1)], ["part", "value", "cid"])
+
+    on = ["part", "value"]
+    entries = cut(classes.select("fps", "cid").mapInArrow(keyed, f"part int, value long, cid {kind}"))
+    sizes = entries.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first"), F.min_by("cid", F.xxhash64("cid")).alias("other")).where("n > 1")
+    shared = cut(entries.join(sizes, on))
+    few = shared.where(F.col("n") <= BUCKET).select(*on, "cid")
+    pairs = few.join(few.withColumnRenamed("cid", "b"), on).where("cid < b").select(F.col("cid").alias("a"), "b")
+    stars = shared.where(F.col("n") > BUCKET).select("cid", F.explode(F.array("first", "other")).alias("b")).where("cid <> b").select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b"))
+    most = int(differing_share(similarity) * 64 * words)
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    left, right = (classes.select(F.col("cid").alias(c), F.col("fps").alias(f)) for c, f in (("a", "x"), ("b", "y")))
+    linked = pairs.union(stars).distinct().join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
+    root = components(linked)
+    named = classes.join(root.withColumnRenamed("node", "cid"), "cid", "left").select("fps", F.coalesce("component", "cid").alias("component_id"))
+    return fps.join(named, "fps", "left").select(F.col("id").alias(id_col), "component_id")
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, tau: int = 2) -> DataFrame:
     """One row for each row of df: the id, fingerprint (16 hex digits) and component_id, the smallest id reachable
     through fingerprints that differ in at most tau bits.
