@@ -88,6 +88,22 @@ def test_binary_keys_and_conflicts(spark, tmp_path):
     assert LogStore.open(spark, path).manifest.runs[0].key_max == b"\xff" and LogStore.open(spark, path).get_key(b"").head().value == 2
 
 
+def test_compaction_keeps_runs_flushed_meanwhile(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    a = LogStore.create(spark, path, "long", "long", SizeTiered(10**9, 50, 10**6, 0.5, 1.5))
+    for i in range(3):
+        a.insert(kv(spark, {i: i, 9: i}))
+        a.flush()
+    job = SizeTiered(0, 2, 10**6, 0.5, 1.5).next_job(a.manifest.runs)
+    b = LogStore.open(spark, path)
+    b.insert(kv(spark, {9: 99, 50: 50}))
+    b.flush()
+    a._run(job)
+    assert len(a.manifest.runs) == 2 and view(LogStore.open(spark, path)) == {0: 0, 1: 1, 2: 2, 9: 99, 50: 50}
+    a._run(job)  # its inputs are gone by now
+    assert view(LogStore.open(spark, path)) == {0: 0, 1: 1, 2: 2, 9: 99, 50: 50}
+
+
 def run(size, lo, hi, t, tomb=0, level=-1, n=10):
     return Run(f"r{lo}-{hi}-{t}", n, tomb, size, lo, hi, t, t, level)
 

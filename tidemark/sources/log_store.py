@@ -209,13 +209,21 @@ class LogStore:
         return done
 
     def _run(self, job: MergeJob) -> None:
+        """Writes a merge's runs and commits them in place of its inputs."""
         gone = {r.path for r in job.inputs}
         if job.move:
             made = [Run(**{**r.__dict__, "level": job.level}) for r in job.inputs]
         else:
             log = latest_versions(self._read(job.inputs))
             made = self._write(log.where(~F.col("is_tombstone")) if job.drop_tombstones else log, job.level, job.max_size)
-        self._commit([*(r for r in self.manifest.runs if r.path not in gone), *made])
+        while True:
+            try:
+                return self._commit([*(r for r in self.manifest.runs if r.path not in gone), *made])
+            except FileExistsError:  # someone committed meanwhile: their runs stay, and the merge counts if its inputs do
+                self.manifest = Manifest.load(self.files)
+                self._clock = max(self._clock, self.manifest.logical_time)
+                if not gone <= {r.path for r in self.manifest.runs}:
+                    return None
 
     def collect_garbage(self, keep: list[DataFrame] | None = None) -> int:
         """Deletes run files that the manifest doesn't list and no table in `keep` reads; the number of folders deleted."""
