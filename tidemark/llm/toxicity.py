@@ -81,16 +81,27 @@ def fit_ordinal(indptr: np.ndarray, index: np.ndarray, value: np.ndarray, grade:
     theta0 = np.maximum.accumulate(theta0 + 1e-6 * np.arange(len(theta0)))
     if n == 0 or len(np.unique(grade)) < 2:
         return OrdinalModel({}, theta0.tolist())
-    names, column, df = np.unique(index, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), np.diff(indptr))
+    # only features of enough rows go on, in numbers of half the width: this is what the driver holds
+    all_df = np.bincount(index)
+    names = np.flatnonzero(all_df >= min_df)
+    df = all_df[names]
+    place = np.full(len(all_df), -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    on = all_df[index] >= min_df
+    column, value = place[index[on]], value[on].astype(np.float32)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(indptr))[on]
+    del on, index
     idf = np.log(n / df)
 
     def solve(cols: np.ndarray, strength: float, theta: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        new = np.full(len(names), -1)
-        new[cols] = np.arange(len(cols))
-        on = new[column] >= 0
-        r, c = row[on], new[column[on]]
-        v = value[on] * idf[cols][c]
+        if len(cols) == len(names):
+            r, c, v = row, column, value * idf.astype(np.float32)[column]
+        else:
+            new = np.full(len(names), -1, np.int32)
+            new[cols] = np.arange(len(cols), dtype=np.int32)
+            on = new[column] >= 0
+            r, c = row[on], new[column[on]]
+            v = value[on] * idf[cols].astype(np.float32)[c]
         dot = lambda w: np.bincount(r, v * w[c], n)
         back = lambda g: np.bincount(c, v * g[r], len(cols))
         x = np.ones(len(cols)) / math.sqrt(max(1, len(cols)))
@@ -121,7 +132,7 @@ def fit_ordinal(indptr: np.ndarray, index: np.ndarray, value: np.ndarray, grade:
             prev_w, prev_t, k = w, t, nk
         return w, prev_t
 
-    cols = np.flatnonzero(df >= min_df)
+    cols = np.arange(len(names))
     w, theta = solve(cols, penalty / math.sqrt(n), theta0, rounds)
     cols = cols[w != 0]
     if not len(cols):
@@ -148,11 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, n_grades: int, max_rows: int = 8_000
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.float32()))], ["grade", "index", "value"])
 
     t = src.mapInArrow(run, "grade int, index array<int>, value array<float>").toArrow()
-    index, value = t["index"].combine_chunks(), t["value"].combine_chunks()
-    sizes = np.array(t["index"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False), np.int64) if t.num_rows else np.zeros(0, np.int64)
-    return fit_ordinal(
-        np.concatenate([[0], np.cumsum(sizes)]), index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(np.float64), np.clip(t["grade"].to_numpy().astype(np.int64), 0, n_grades - 1), n_grades, penalty
-    )
+    flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(x.flatten().to_numpy() for x in t[c].chunks)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in t["index"].chunks)])
+    index, value, grade = flat("index", np.int32), flat("value", np.float32), np.clip(t["grade"].to_numpy().astype(np.int64), 0, n_grades - 1)
+    del t
+    return fit_ordinal(np.concatenate([[0], np.cumsum(sizes)]), index, value, grade, n_grades, penalty)
 
 
 def predict(docs: DataFrame, model: OrdinalModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
