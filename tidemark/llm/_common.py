@@ -35,10 +35,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most two partitions for each core of the cluster: intermediate tables of many small files cost more than they spread."""
+    return df.coalesce(2 * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return few_files(df).checkpoint(eager=True)
 
 
 def small_batches(spark: SparkSession) -> None:
