@@ -137,3 +137,27 @@ def test_similar_in_one_large_group(spark):
         rows.append((i + 1, " ".join(w)))
     got = {r.component_id for r in simhash.similar(spark.createDataFrame([(0, " ".join(base)), *rows], "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+def grown(rnd, base, share, tag):
+    """base with one new word after another at its end, until its similarity to base has come down to share."""
+    n, k = len(base) - 4, 0
+    while n / (n + k + 1) >= share:
+        k += 1
+    return [*base, *[f"{tag}_{j}" for j in range(k)]]
+
+
+def test_similar_is_exact_at_the_threshold(spark):
+    """All pairs of 0.8 and little more are found, none of little less: what falls with the number of documents can't be exact here."""
+    rnd, vocab, rows = random.Random(9), [f"w{i}" for i in range(3000)], []
+    for i in range(150):
+        base = rnd.choices(vocab, k=rnd.randint(60, 300))
+        other = grown(rnd, base, (0.8, 0.82)[i % 2], f"n{i}")
+        rows += [(4 * i, " ".join(base)), (4 * i + 1, " ".join(other)), (4 * i + 2, " ".join([*base, *[f"u{i}_{j}" for j in range(len(base) // 3)]]))]
+    text = dict(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(150):
+        assert jaccard(text[4 * i], text[4 * i + 1]) >= 0.8 > jaccard(text[4 * i], text[4 * i + 2])
+        assert [got[4 * i + j] for j in range(3)] == [4 * i, 4 * i, 4 * i + 2]
+    few = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(few).collect()} == {0: 0, 1: 0, 2: 2}  # the same among few documents

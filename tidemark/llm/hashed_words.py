@@ -30,10 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start offsets, end offsets, hashes) of the words of UTF-8 bytes."""
+def words(data: bytes, word_bytes: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start offsets, end offsets, hashes) of the words of UTF-8 bytes; word_bytes: which of the 256 bytes words consist of."""
     b = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate([[False], _IS_WORD[b], [False]]).astype(np.int8))
+    edge = np.diff(np.concatenate([[False], word_bytes[b], [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return start, end, np.zeros(0, np.uint64)

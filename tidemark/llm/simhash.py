@@ -21,15 +21,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from ._common import cut, small_batches
+from ._common import cut, fraction_for, small_batches
 from .components import components
-from .hashed_words import mix
+from .hashed_words import shingles, words
 
+NOT_SPACE = np.array([chr(b) not in " \t\n\r\x0b\x0c" for b in range(256)])
 FOLD = 16  # bits of a partition value that the histogram of candidate counts keeps
-FEW = 4  # classes that are compared in pairs where wide fingerprints share a value
+FEW = 4  # sets that are compared in pairs where they share a shingle of their prefixes
+BLOCK = 1024  # sets of a larger bucket that meet at once
+SAMPLE = 20_000  # texts that tell which shingles are common
+LISTED = 200_000  # common shingles at most
 BUCKET = 32  # distinct fingerprints in a bucket beyond which it is linked through balls
 
 
@@ -38,8 +43,6 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray
 
     A-Z is lower-cased, words are runs of other than ASCII white space; fewer words than a shingle are one shingle.
     """
-    from xxhash import xxh64_intdigest
-
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -281,66 +284,139 @@ def links(distinct: DataFrame, tau: int = 2, parts: int | None = None) -> DataFr
     return cold.union(_ball_links(crowded, tau)).distinct()
 
 
-# wider fingerprints, for similarities that 64 bits cannot tell
+# similarities that fingerprints of 64 bits cannot tell: sets of shingles, joined exactly
 
 
-def wide_fingerprint(text: str | None, words: int, shingle: int = 5) -> np.ndarray:
-    """`words` independent 64-bit SimHashes of one text's shingles."""
-    h = shingle_hashes(text, shingle)
-    return _majority(mix(h[None, :] + (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]))
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, ascending; words as in shingle_hashes."""
+    _, _, h = words((text or "").encode("utf-8", "replace"), NOT_SPACE)
+    return np.unique(shingles(h, min(shingle, max(1, len(h)))))
 
 
-def differing_share(jaccard: float) -> float:
-    """Share of bits in which fingerprints of equally long texts differ whose shingle sets have this Jaccard similarity."""
-    return math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of shingles that many of a bounded sample of texts have. Only costs depend on what is in it."""
+    sample = texts.where(fraction_for(texts, "text", SAMPLE))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["hash"])
 
-def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, words: int = 16) -> DataFrame:
-    """(id, component_id) of each row of df: components of documents whose `shingle`-word shingles have a Jaccard similarity
-    of `similarity` or more, as fingerprints of 64 * words bits tell it (with 1,024 bits to about 0.02).
+    seen = sample.select("text").mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    top = seen.where("n > 3").orderBy(F.desc("n"), "hash").limit(LISTED).toPandas()
+    h, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
-    Candidates meet in an equal partition: runs of width log2(classes) + 4 of all bits, correlated ones beside each other, so
-    that a class meets a few unlike ones however many there are. At 250,000 classes (22 bits, 46 partitions) that finds 98 % of
-    pairs of similarity 0.9, 89 % at 0.85 and 73 % at 0.8, besides what is linked through third documents. Of a value that more
-    than FEW classes share, each is compared with the first one, so work is linear in a group's size.
-    Copies are one class. Null and empty texts are alike; a null id is in no component (null) unless its text has others.
-    """
-    small_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
+
+def _sets(texts: DataFrame, kind: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, sig, n, members, prefix): a text's set of shingles by its hash, its size, its members in 32 bits, and those that
+    come first in one order of all shingles, rare ones first. Two sets as alike as that share one of their prefixes."""
+    listed, counts = _common(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies give their prefix once for each task; a full memory costs repeats, no more
         for b in batches:
-            fp = np.array([wide_fingerprint(t, words, shingle) for t in b.column(1).to_pylist()], np.uint64).reshape(b.num_rows, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, fp.size + 1, words, dtype=np.int32), pa.array(fp.ravel().view(np.int64)))], ["id", "fps"])
-
-    fps = cut(df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, fps array<long>"))
-    classes = cut(fps.groupBy("fps").agg(F.min("id").alias("cid")).where("cid is not null"))
-    n = classes.count()
-    width = min(60, max(16, math.ceil(math.log2(max(2, n))) + 4))
-    order = [64 * w + bit for w, halves in enumerate(_bit_groups(classes.select("fps"), [32, 32], words)) for half in halves for bit in half]
-    groups = [order[i : i + width] for i in range(0, len(order) - width + 1, width)]
+            sigs, sizes, members, prefixes = [], [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = shingle_set(t, shingle)
+                sig = xxh64_intdigest(h.tobytes(), 7)
+                prefix = h[:0]
+                if i is not None and len(h) and sig not in seen:
+                    if len(seen) < SAMPLE:
+                        seen.add(sig)
+                    rank = np.zeros(len(h), np.int64)
+                    if len(listed):
+                        at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+                        rank = np.where(listed[at] == h, counts[at], 0)
+                    prefix = h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                sigs.append(sig)
+                sizes.append(len(h))
+                members.append(np.unique(h.astype(np.uint32)).tobytes())
+                prefixes.append(prefix)
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(members, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))],
+                ["id", "sig", "n", "members", "prefix"],
+            )
+
+    return texts.mapInArrow(run, f"id {kind}, sig long, n int, members binary, prefix array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have that Jaccard similarity."""
+    left, right = (sets.select(F.col("sig").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.concatenate([_bits(np.ascontiguousarray(w)) for w in _words_of(b, words).T], axis=1)
-            for i, g in enumerate(groups):
-                v = bits[:, g].astype(np.int64) @ (np.int64(1) << np.arange(len(g), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v), b.column(1)], ["part", "value", "cid"])
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(same >= similarity * (len(both) - same) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    on = ["part", "value"]
-    entries = cut(classes.select("fps", "cid").mapInArrow(keyed, f"part int, value long, cid {kind}"))
-    sizes = entries.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first")).where("n > 1")
-    shared = cut(entries.join(sizes, on))
-    few = shared.where(F.col("n") <= FEW).select(*on, "cid")
-    pairs = few.join(few.withColumnRenamed("cid", "b"), on).where("cid < b").select(F.col("cid").alias("a"), "b")
-    stars = shared.where((F.col("n") > FEW) & (F.col("cid") != F.col("first"))).select(F.col("first").alias("a"), F.col("cid").alias("b"))
-    most = int(differing_share(similarity) * 64 * words)
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
-    left, right = (classes.select(F.col("cid").alias(c), F.col("fps").alias(f)) for c, f in (("a", "x"), ("b", "y")))
-    linked = pairs.union(stars).distinct().join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
-    root = components(linked)
-    named = classes.join(root.withColumnRenamed("node", "cid"), "cid", "left").select("fps", F.coalesce("component", "cid").alias("component_id"))
-    return fps.join(named, "fps", "left").select(F.col("id").alias(id_col), "component_id")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _may_be_alike(similarity: float, p: str, q: str):
+    """Whether two sets that meet in a shingle can be that alike, by their sizes and by what follows the shingle in either.
+    Where they meet first it holds for all that are."""
+    n, m, i, j = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (p, q))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
+def _pairs_within(buckets: DataFrame, similarity: float, also=None) -> DataFrame:
+    """Distinct pairs (a, b) that meet in a bucket (key) and may be alike. Buckets of more than BLOCK are met in blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    p = buckets.withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int")).alias("p")
+    q = buckets.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("q")
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.sig") < F.col("q.sig")) & _may_be_alike(similarity, "p", "q")
+    return p.join(q, on if also is None else on & also).select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b")).distinct()
+
+
+def _stars(buckets: DataFrame, turn: int, similarity: float, also=None) -> DataFrame:
+    """Distinct pairs (a, b) of one member of each bucket, another one each turn, with the others that may be like it."""
+    pick = F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("by"), *[F.col(c) for c in buckets.columns if c != "key"]))
+    p, q = buckets.groupBy("key").agg(pick.alias("s")).select("key", "s.*").alias("p"), buckets.alias("q")
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.sig") != F.col("q.sig")) & _may_be_alike(similarity, "p", "q")
+    return p.join(q, on if also is None else on & also).select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b")).distinct()
+
+
+def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) of each row of df: components of documents whose sets of `shingle`-word shingles have a Jaccard
+    similarity of `similarity` or more. Exact, but for clashes of 32-bit hashes within a pair, at every number of documents.
+
+    Candidates meet in a shingle of their prefixes. In a bucket of more than FEW, one member is compared with the rest.
+    Copies are one class. Null and empty texts are alike; a null id is in no component (null) unless its text has others.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    sets = cut(_sets(texts, kind, shingle, similarity))
+    classes = cut(sets.groupBy("sig").agg(F.min("id").alias("cid")))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = sets.select("sig", "n", F.posexplode("prefix").alias("pos", "key"))
+    once = entries.repartition(parts, "key").dropDuplicates(["key", "sig"])
+    shared = cut(once.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"))
+    few, crowd = shared.where(F.col("size") <= FEW), shared.where(F.col("size") > FEW)
+
+    pairs = cut(_pairs_within(few, similarity).union(_stars(crowd, 0, similarity)).distinct())
+    met = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(crowd.select("sig")).distinct()
+    held = cut(sets.where(F.size("prefix") > 0).select("sig", "members").join(met, "sig", "left_semi").dropDuplicates(["sig"]))
+    found = _alike(pairs, held, similarity)
+    root = components(found)
+
+    named = classes.join(root, F.col("sig") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "sig").alias("root"))
+    roots = named.groupBy("root").agg(F.min("cid").alias("component_id"))
+    known = named.join(roots, "root").select("sig", "component_id")
+    return sets.select("id", "sig").join(known, "sig").select(F.col("id").alias(id_col), "component_id")
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, tau: int = 2) -> DataFrame:
