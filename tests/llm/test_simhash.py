@@ -161,3 +161,18 @@ def test_similar_is_exact_at_the_threshold(spark):
         assert [got[4 * i + j] for j in range(3)] == [4 * i, 4 * i, 4 * i + 2]
     few = spark.createDataFrame(rows[:3], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar(few).collect()} == {0: 0, 1: 0, 2: 2}  # the same among few documents
+
+
+def test_similar_in_a_source_of_shared_boilerplate(spark):
+    """Documents that share most of their text without being alike, the smallest id unlike all: near-duplicates among them are found."""
+    rnd, vocab = random.Random(10), [f"w{i}" for i in range(3000)]
+    common, rows = rnd.choices(vocab, k=170), [(0, " ".join(rnd.choices(vocab, k=200)))]
+    for i in range(150):
+        own = rnd.choices(vocab, k=30)
+        near = list(own)
+        near[rnd.randrange(5, 25)] = f"x{i}"
+        rows += [(2 * i + 1, " ".join([*common, *own])), (2 * i + 2, " ".join([*common, *near]))]
+    text = dict(rows)
+    assert 0.7 < jaccard(text[1], text[3]) < 0.8 < jaccard(text[1], text[2])
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, **{2 * i + j: 2 * i + 1 for i in range(150) for j in (1, 2)}}

@@ -33,6 +33,7 @@ NOT_SPACE = np.array([chr(b) not in " \t\n\r\x0b\x0c" for b in range(256)])
 FOLD = 16  # bits of a partition value that the histogram of candidate counts keeps
 FEW = 4  # sets that are compared in pairs where they share a shingle of their prefixes
 BLOCK = 1024  # sets of a larger bucket that meet at once
+TURNS = 3  # times that one member of a bucket is compared with the rest before all pairs are
 SAMPLE = 20_000  # texts that tell which shingles are common
 LISTED = 200_000  # common shingles at most
 BUCKET = 32  # distinct fingerprints in a bucket beyond which it is linked through balls
@@ -391,7 +392,8 @@ def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shing
     """(id, component_id) of each row of df: components of documents whose sets of `shingle`-word shingles have a Jaccard
     similarity of `similarity` or more. Exact, but for clashes of 32-bit hashes within a pair, at every number of documents.
 
-    Candidates meet in a shingle of their prefixes. In a bucket of more than FEW, one member is compared with the rest.
+    Candidates meet in a shingle of their prefixes. In a bucket of more than FEW, one member after another is compared with the rest,
+    as long as that spares pairs (what is in one component needs no comparison); then all pairs across components are.
     Copies are one class. Null and empty texts are alike; a null id is in no component (null) unless its text has others.
     """
     spark = df.sparkSession
@@ -410,8 +412,24 @@ def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shing
     pairs = cut(_pairs_within(few, similarity).union(_stars(crowd, 0, similarity)).distinct())
     met = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(crowd.select("sig")).distinct()
     held = cut(sets.where(F.size("prefix") > 0).select("sig", "members").join(met, "sig", "left_semi").dropDuplicates(["sig"]))
-    found = _alike(pairs, held, similarity)
-    root = components(found)
+    found = cut(_alike(pairs, held, similarity))
+    root, turn = cut(components(found)), 0
+    while True:
+        named = crowd.drop("root").join(root.select(F.col("node").alias("sig"), F.col("component").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        open_ = cut(sizes.where("m * m > own"))
+        rows, left = open_.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0))).head()
+        if not rows:
+            break
+        crowd = cut(named.join(open_.select("key"), "key", "left_semi"))
+        across = F.col("p.root") != F.col("q.root")
+        turn += 1
+        last = turn > TURNS or left <= 8 * rows
+        more = _pairs_within(crowd, similarity, across) if last else _stars(crowd, turn, similarity, across)
+        found = cut(found.union(_alike(more, held, similarity)))
+        root = cut(components(found))
+        if last:
+            break
 
     named = classes.join(root, F.col("sig") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "sig").alias("root"))
     roots = named.groupBy("root").agg(F.min("cid").alias("component_id"))
