@@ -35,15 +35,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in at most two partitions for each core of the cluster: intermediate tables of many small files cost more than they spread."""
-    return df.coalesce(2 * max(1, df.sparkSession.sparkContext.defaultParallelism))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, as a table in the shared folder: lost executors cost no recomputation, and columns and codecs keep it small."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared folder, so that lost executors cost no recomputation."""
+    """df, computed once and read back from the shared folder as a checkpoint; for tables of a few narrow columns."""
     shared_dir(df.sparkSession)
-    return few_files(df).checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def small_batches(spark: SparkSession) -> None:

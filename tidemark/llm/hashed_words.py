@@ -51,3 +51,13 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * _R + hashes[i : i + n]
     return mix(out)
+
+
+def sequences(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k words in a row, for long rows: in as many steps whatever k is."""
+    n = len(hashes) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    power, inverse = _grow(len(hashes))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)])])
+    return mix((total[k:] - total[:n]) * inverse[:n])
