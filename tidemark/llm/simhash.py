@@ -25,17 +25,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._common import cut, fraction_for, small_batches
+from ._common import cut, small_batches, stored
 from .components import components
-from .hashed_words import shingles, words
+from .hashed_words import mix, shingles, words
 
 NOT_SPACE = np.array([chr(b) not in " \t\n\r\x0b\x0c" for b in range(256)])
 FOLD = 16  # bits of a partition value that the histogram of candidate counts keeps
-FEW = 4  # sets that are compared in pairs where they share a shingle of their prefixes
+FEW = 8  # sets that are compared in pairs at once where they share a bucket
 BLOCK = 1024  # sets of a larger bucket that meet at once
 TURNS = 3  # times that one member of a bucket is compared with the rest before all pairs are
-SAMPLE = 20_000  # texts that tell which shingles are common
-LISTED = 200_000  # common shingles at most
+SMALL = 16  # shingles of a set that is too small for its fingerprint alone
+SPARE_BITS = 3  # of a partition beyond the logarithm of the number of sets: unlike sets seldom meet
+MAX_WIDTH = 40
+CHOICE = 1.15  # fingerprint bits for each that thresholds of 0 would need
+STEPS = 10_000  # of the chance of a miss, in the dynamic program
+FEW_BITS = 10  # of a partition's value, for the estimate of its candidates
+SEEN = 20_000
 BUCKET = 32  # distinct fingerprints in a bucket beyond which it is linked through balls
 
 
@@ -285,7 +290,7 @@ def links(distinct: DataFrame, tau: int = 2, parts: int | None = None) -> DataFr
     return cold.union(_ball_links(crowded, tau)).distinct()
 
 
-# similarities that fingerprints of 64 bits cannot tell: sets of shingles, joined exactly
+# similarity of sets of shingles: wide fingerprints, thresholds by dynamic programming for a stated chance of a miss
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -294,61 +299,200 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingles(h, min(shingle, max(1, len(h)))))
 
 
-def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, counts) of shingles that many of a bounded sample of texts have. Only costs depend on what is in it."""
-    sample = texts.where(fraction_for(texts, "text", SAMPLE))
+def wide_fingerprint(h: np.ndarray, n_words: int) -> np.ndarray:
+    """SimHash of n_words x 64 bits of a set of hashes, each word from hashes of its own."""
+    total = np.zeros((n_words, 64), np.int64)
+    salt = mix(np.arange(1, n_words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for i in range(0, len(h), 2048):
+        total += bit_counts(mix(h[None, i : i + 2048] ^ salt))
+    return np.packbits(total * 2 > len(h), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def bit_differs(similarity: float) -> float:
+    """Chance that a fingerprint bit differs between two sets of that Jaccard similarity (of equal size, where it is greatest)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def caught(width: int, threshold: int, differs: float) -> float:
+    """Chance that a partition of that many bits differs in at most threshold of them; -1: never looked at."""
+    return sum(comb(width, d) * differs**d * (1 - differs) ** (width - d) for d in range(threshold + 1))
+
+
+class Shape:
+    """How wide partitions of n fingerprints are, and how many 128-bit blocks of fingerprint leave the allocation a choice."""
+
+    def __init__(self, n: int, similarity: float, miss: float):
+        self.differs, self.need = bit_differs(similarity), math.log(1 / miss)
+        self.width = min(MAX_WIDTH, max(10, math.ceil(math.log2(max(2, n))) + SPARE_BITS))
+        self.per_block = 2 * 64 // self.width
+        each = -math.log1p(-caught(self.width, 0, self.differs))
+        self.blocks = math.ceil(CHOICE * self.need / each / self.per_block)
+
+
+def thresholds(cost: np.ndarray, gain: np.ndarray, need: float) -> np.ndarray:
+    """The threshold of each partition (-1, 0, 1) of least cost in all whose gains add up to need.
+
+    cost, gain: (partitions, 2) of thresholds 0 and 1. Gains are logarithms of the chances of a miss, so they add; they count in
+    steps, rounded down. By dynamic programming over partitions and what is still needed."""
+    steps = np.floor(gain / need * STEPS).astype(int)
+    best = np.full(STEPS + 1, np.inf)
+    best[0] = 0.0
+    picks = []
+    for (c0, c1), (g0, g1) in zip(cost, steps):
+        new, pick = best.copy(), np.full(STEPS + 1, -1, np.int8)
+        for t, (c, g) in enumerate(((c0, g0), (c1, g1))):
+            reached = np.minimum(np.arange(STEPS + 1) + g, STEPS)
+            total = np.full(STEPS + 1, np.inf)
+            np.minimum.at(total, reached, best + c)
+            better = total < new
+            new, pick = np.where(better, total, new), np.where(better, t, pick)
+        picks.append((best, pick))
+        best = new
+    if not np.isfinite(best[STEPS]):
+        return np.ones(len(cost), np.int8)
+    out, at = np.full(len(cost), -1, np.int8), STEPS
+    for i in reversed(range(len(cost))):
+        before, pick = picks[i]
+        out[i] = t = pick[at]
+        if t >= 0:  # the cheapest state before from which this one is reached
+            g = steps[i][t]
+            at = at - g if at < STEPS else max(0, STEPS - g) + int(before[max(0, STEPS - g) :].argmin())
+    return out
+
+
+def _blocks_of(b: pa.RecordBatch, blocks: int) -> np.ndarray:
+    """(blocks, rows, 128) bits of a batch whose column `fp` is an array of longs."""
+    fp = b.column(b.schema.get_field_index("fp")).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(b.num_rows, -1)
+    return np.stack([np.concatenate([_bits(np.ascontiguousarray(fp[:, 2 * i + j])) for j in range(2)], axis=1) for i in range(blocks)])
+
+
+def _sums(df: DataFrame, cells: int, add) -> np.ndarray:
+    """Sums over all rows of what add(batch) gives, an array of `cells` numbers: added up in each task, then by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells)
         for b in batches:
-            h = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["hash"])
+            if b.num_rows:
+                total += add(b)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["cell", "n"])
 
-    seen = sample.select("text").mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    top = seen.where("n > 3").orderBy(F.desc("n"), "hash").limit(LISTED).toPandas()
-    h, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    got = df.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(cells)
+    out[got["cell"]] = got["n"]
+    return out
 
 
-def _sets(texts: DataFrame, kind: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, sig, n, members, prefix): a text's set of shingles by its hash, its size, its members in 32 bits, and those that
-    come first in one order of all shingles, rare ones first. Two sets as alike as that share one of their prefixes."""
-    listed, counts = _common(texts, shingle)
+def _partitions(classes: DataFrame, shape: Shape) -> tuple[list[tuple[int, list[int]]], np.ndarray]:
+    """(block, bits) of each partition, correlated bits together, and its threshold. What reaches the driver are sums over all
+    fingerprints: of each pair of bits of a block, and of 2^FEW_BITS cells of each partition."""
+    blocks, width = shape.blocks, shape.width
+    n = max(1, classes.count())
+
+    def pairs_of_bits(b: pa.RecordBatch) -> np.ndarray:
+        x = _blocks_of(b, blocks).astype(np.float32)
+        return (x.transpose(0, 2, 1) @ x).astype(float).ravel()
+
+    both = _sums(classes.select("fp"), blocks * 128 * 128, pairs_of_bits).reshape(blocks, 128, 128) / n
+    parts = []
+    for i, pair in enumerate(both):
+        p = np.diag(pair)
+        sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
+        parts += [(i, g) for g in correlated_groups((pair - np.outer(p, p)) / np.outer(sd, sd), [width] * shape.per_block)]
+
+    def cells_of(b: pa.RecordBatch) -> np.ndarray:
+        bits = _blocks_of(b, blocks).astype(np.float32)
+        powers = (1 << np.arange(FEW_BITS)).astype(np.float32)
+        return np.concatenate([np.bincount((bits[i][:, g[:FEW_BITS]] @ powers[: len(g)]).astype(np.int64), minlength=1 << FEW_BITS) for i, g in parts])
+
+    cells = _sums(classes.select("fp"), len(parts) << FEW_BITS, cells_of).reshape(len(parts), -1)
+    alike = (cells * cells).sum(axis=1) / n / 2.0 ** (width - FEW_BITS)  # candidates of a fingerprint, were the other bits even
+    cost = np.stack([1 + alike, width * (1 + 2 * alike)], axis=1)
+    gain = np.tile([-math.log1p(-caught(width, t, shape.differs)) for t in (0, 1)], (len(parts), 1))
+    return parts, thresholds(cost, gain, shape.need)
+
+
+def _entries(classes: DataFrame, parts: list[tuple[int, list[int]]], chosen: np.ndarray, shape: Shape) -> DataFrame:
+    """(key, node): each partition's value where its threshold is 0; where it is 1, the value with each one of its bits left out,
+    which two values share if and only if they differ in no other bit. Small sets also have the keys of their prefixes."""
+    blocks, width = shape.blocks, shape.width
+    looked = [(i, *parts[i], int(t)) for i, t in enumerate(chosen) if t >= 0]
+    powers = (1 << np.arange(width)).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4096):
+                b = whole.slice(low, 4096)
+                node = b.column(0).to_numpy(zero_copy_only=False)
+                bits = _blocks_of(b, blocks)
+                keys, nodes = [], []
+                for i, block, g, t in looked:
+                    v = (bits[block][:, g] @ powers).astype(np.int64)
+                    for j in range(width) if t else (0,):
+                        keys.append(((64 * i + j) << MAX_WIDTH) | (v & ~(1 << j) if t else v))
+                        nodes.append(node)
+                small = b.column(2)
+                sizes = np.diff(small.offsets.to_numpy())
+                keys.append(small.flatten().to_numpy(zero_copy_only=False) | np.int64(-1 << 63))
+                nodes.append(np.repeat(node, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return classes.select("node", "fp", "small").mapInArrow(run, "key long, node long")
+
+
+def _sets(texts: DataFrame, kind: str, shingle: int, similarity: float, n_words: int) -> DataFrame:
+    """(id, text_hash, sig, n, fp, small): a text's set of shingles by its hash, its size, its wide fingerprint (null where the task has given it for a
+    copy), and, of a set of few, the hashes that come first, of which two sets as alike as that share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies give their prefix once for each task; a full memory costs repeats, no more
+        seen: set[int] = set()  # a full memory costs repeats, no more
         for b in batches:
-            sigs, sizes, members, prefixes = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sigs, sizes, fps, smalls = [], [], [], []
+            for t in b.column(2).to_pylist():
                 h = shingle_set(t, shingle)
                 sig = xxh64_intdigest(h.tobytes(), 7)
-                prefix = h[:0]
-                if i is not None and len(h) and sig not in seen:
-                    if len(seen) < SAMPLE:
-                        seen.add(sig)
-                    rank = np.zeros(len(h), np.int64)
-                    if len(listed):
-                        at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
-                        rank = np.where(listed[at] == h, counts[at], 0)
-                    prefix = h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
                 sigs.append(sig)
                 sizes.append(len(h))
-                members.append(np.unique(h.astype(np.uint32)).tobytes())
-                prefixes.append(prefix)
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
+                if sig in seen:
+                    fps.append(None)
+                    smalls.append(None)
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(sig)
+                fps.append(wide_fingerprint(h, n_words).view(np.int64))
+                smalls.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64) if len(h) <= SMALL / similarity else h[:0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(members, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))],
-                ["id", "sig", "n", "members", "prefix"],
+                [b.column(0), b.column(1), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(smalls, pa.list_(pa.int64()))],
+                ["id", "text_hash", "sig", "n", "fp", "small"],
             )
 
-    return texts.mapInArrow(run, f"id {kind}, sig long, n int, members binary, prefix array<long>")
+    return texts.select("id", "text_hash", "text").mapInArrow(run, f"id {kind}, text_hash long, sig long, n int, fp array<long>, small array<long>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have that Jaccard similarity."""
-    left, right = (sets.select(F.col("sig").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
+def _may_be_alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and first 256 bits allow it (four standard deviations; sets of few pass)."""
+    differs = bit_differs(similarity)
+    most = math.ceil(256 * differs + 4 * math.sqrt(256 * differs * (1 - differs)))
+    x, y = (classes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), *[F.col("fp")[i].alias(f"{c}_{i}") for i in range(4)]) for c in ("a", "b"))
+    apart = sum(F.bit_count(F.col(f"a_{i}").bitwiseXOR(F.col(f"b_{i}"))) for i in range(4))
+    least, greatest = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    return pairs.join(x, "a").join(y, "b").where((least >= similarity * greatest - 1e-9) & ((apart <= most) | (greatest <= SMALL / similarity))).select("a", "b")
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have that Jaccard similarity, by the sets themselves."""
+    pairs = stored(_may_be_alike(pairs, classes, similarity), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = classes.join(met, "node", "left_semi").select("node", "sig", F.col("cid").alias("id")).join(texts, "id").select("node", "sig", "text")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
+            right = [xxh64_intdigest(h.tobytes(), 7) for h in sets] if sets else []  # rows that repeat an id may have other texts
+            ok = np.array(right, np.uint64).view(np.int64) == b.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([np.unique(h.astype(np.uint32)).tobytes() for h, k in zip(sets, ok) if k], pa.binary())], ["node", "members"])
+
+    held = stored(rows.mapInArrow(members, "node long, members binary"), "sets").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,80 +505,82 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(same >= similarity * (len(both) - same) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y = (held.select(F.col("node").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
+    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _may_be_alike(similarity: float, p: str, q: str):
-    """Whether two sets that meet in a shingle can be that alike, by their sizes and by what follows the shingle in either.
-    Where they meet first it holds for all that are."""
-    n, m, i, j = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (p, q))
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-9)
-
-
-def _pairs_within(buckets: DataFrame, similarity: float, also=None) -> DataFrame:
-    """Distinct pairs (a, b) that meet in a bucket (key) and may be alike. Buckets of more than BLOCK are met in blocks."""
+def _pairs_within(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different roots that meet in a bucket (key, node, size, root). Buckets of more than BLOCK are met in blocks."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    p = buckets.withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int")).alias("p")
+    p = buckets.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("p")
     q = buckets.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("q")
-    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.sig") < F.col("q.sig")) & _may_be_alike(similarity, "p", "q")
-    return p.join(q, on if also is None else on & also).select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b")).distinct()
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))
+    return p.join(q, on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
-def _stars(buckets: DataFrame, turn: int, similarity: float, also=None) -> DataFrame:
-    """Distinct pairs (a, b) of one member of each bucket, another one each turn, with the others that may be like it."""
-    pick = F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("by"), *[F.col(c) for c in buckets.columns if c != "key"]))
-    p, q = buckets.groupBy("key").agg(pick.alias("s")).select("key", "s.*").alias("p"), buckets.alias("q")
-    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.sig") != F.col("q.sig")) & _may_be_alike(similarity, "p", "q")
-    return p.join(q, on if also is None else on & also).select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b")).distinct()
+def _stars(buckets: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of one member of each bucket, another one each turn, with those of other roots."""
+    pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "root"))
+    p, q = buckets.groupBy("key").agg(pick.alias("s")).select("key", "s.node", "s.root").alias("p"), buckets.alias("q")
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root"))
+    return p.join(q, on).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
-def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) of each row of df: components of documents whose sets of `shingle`-word shingles have a Jaccard
-    similarity of `similarity` or more. Exact, but for clashes of 32-bit hashes within a pair, at every number of documents.
+def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+    """(id, text_hash, component_id) of each row of df, text_hash the XXH64 of its text: components of documents whose sets of `shingle`-word shingles have a Jaccard
+    similarity of `similarity` or more. What links is decided by the sets; of pairs that are just as alike as that, `miss` are not
+    looked at, of those more alike fewer, however many documents there are.
 
-    Candidates meet in a shingle of their prefixes. In a bucket of more than FEW, one member after another is compared with the rest,
-    as long as that spares pairs (what is in one component needs no comparison); then all pairs across components are.
-    Copies are one class. Null and empty texts are alike; a null id is in no component (null) unless its text has others.
+    A wide SimHash is cut into partitions of correlated bits. Partitions are as wide as the number of documents asks for, and the
+    fingerprint has as many bits as then give the dynamic program a choice: it hands out thresholds (not looked at, 0 or 1 bits) of
+    least estimated candidates whose chances of a miss multiply to `miss`. Sets of up to SMALL shingles, too few for a majority to
+    tell much, also meet exactly, in the hashes of their prefixes.
+
+    Candidates meet in a bucket. In one of more than FEW, one member after another is compared with the rest, as long as that spares pairs (what is
+    in one component needs no comparison); then all pairs across components are. No pair is left out.
+    Copies are one class. Null and empty texts are alike; a null id is in no component (null) unless its text has others. Rows that
+    repeat an id with different texts are rows of their own. No other columns are read.
     """
     spark = df.sparkSession
     small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    sets = cut(_sets(texts, kind, shingle, similarity))
-    classes = cut(sets.groupBy("sig").agg(F.min("id").alias("cid")))
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = sets.select("sig", "n", F.posexplode("prefix").alias("pos", "key"))
-    once = entries.repartition(parts, "key").dropDuplicates(["key", "sig"])
-    shared = cut(once.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"))
-    few, crowd = shared.where(F.col("size") <= FEW), shared.where(F.col("size") > FEW)
-
-    pairs = cut(_pairs_within(few, similarity).union(_stars(crowd, 0, similarity)).distinct())
-    met = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(crowd.select("sig")).distinct()
-    held = cut(sets.where(F.size("prefix") > 0).select("sig", "members").join(met, "sig", "left_semi").dropDuplicates(["sig"]))
-    found = cut(_alike(pairs, held, similarity))
-    root, turn = cut(components(found)), 0
+    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    shape = Shape(texts.count(), similarity, miss)
+    sets = stored(_sets(texts, kind, shingle, similarity, 2 * shape.blocks), "sketches")
+    named = sets.where("id is not null").groupBy("sig").agg(F.min("id").alias("cid"))
+    sketches = sets.where("fp is not null and n > 0").select("sig", "n", "fp", "small").dropDuplicates(["sig"])
+    classes = stored(sketches.join(named, "sig").withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    parts, chosen = _partitions(classes, shape)
+    entries = _entries(classes, parts, chosen, shape)
+    shared = stored(entries.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"), "buckets")
+    crowd = shared.where(F.col("size") > FEW)
+    centre = crowd.groupBy("key").agg(F.min("node").alias("a"))
+    first = crowd.join(centre, "key").where("node <> a").groupBy("node").agg(F.max_by("a", F.struct("size", "a")).alias("a")).select("a", F.col("node").alias("b"))
+    found = _alike(first, classes, texts, shingle, similarity)
+    root, turn, crowd = cut(components(found)), 0, shared
     while True:
-        named = crowd.drop("root").join(root.select(F.col("node").alias("sig"), F.col("component").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        open_ = cut(sizes.where("m * m > own"))
-        rows, left = open_.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0))).head()
-        if not rows:
-            break
-        crowd = cut(named.join(open_.select("key"), "key", "left_semi"))
-        across = F.col("p.root") != F.col("q.root")
+        known = crowd.select("key", "node", "size").join(root.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        crowd = stored(known.join(sizes.where("m * m > own"), "key"), "crowd")
+        open_ = crowd.where(F.col("size") > FEW)
+        rows, left = open_.groupBy("key").agg(F.max("m").alias("m"), F.max((F.col("m") * F.col("m") - F.col("own")) / 2).alias("left")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).head()
         turn += 1
         last = turn > TURNS or left <= 8 * rows
-        more = _pairs_within(crowd, similarity, across) if last else _stars(crowd, turn, similarity, across)
-        found = cut(found.union(_alike(more, held, similarity)))
+        pairs = _pairs_within(crowd if last else crowd.where(F.col("size") <= FEW))
+        if not last:
+            pairs = pairs.union(_stars(open_, turn)).distinct()
+        found = found.union(_alike(pairs, classes, texts, shingle, similarity))
         root = cut(components(found))
         if last:
             break
+        crowd = open_
 
-    named = classes.join(root, F.col("sig") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "sig").alias("root"))
+    named = classes.select("sig", "cid", "node").join(root, "node", "left").select("sig", "cid", F.coalesce("component", "node").alias("root"))
     roots = named.groupBy("root").agg(F.min("cid").alias("component_id"))
-    known = named.join(roots, "root").select("sig", "component_id")
-    return sets.select("id", "sig").join(known, "sig").select(F.col("id").alias(id_col), "component_id")
+    of_set = named.join(roots, "root").select("sig", "component_id")
+    empty = sets.where("n = 0 and id is not null").groupBy("sig").agg(F.min("id").alias("component_id"))
+    return sets.select("id", "text_hash", "sig").join(of_set.union(empty.select("sig", "component_id")), "sig", "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, tau: int = 2) -> DataFrame:
