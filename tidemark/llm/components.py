@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Every step is an aggregation and a join, so a node with very many links is pre-aggregated and its join side split
-by Spark; each round is written to the shared folder, so that lineage stays short and lost executors cost little.
+Every step is an aggregation and a join. A node with very many links is pre-aggregated, and its links are not brought together
+to be joined; each round is written to the shared folder, so that lineage stays short and lost executors cost little.
 """
 
 from __future__ import annotations
@@ -12,16 +12,28 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: A node with more links than this, and than 1 in SHARE of them, is heavy. There are at most 2 * SHARE heavy nodes.
+HEAVY, SHARE = 256, 50_000
+
+
+def _with_least(e: DataFrame, low: DataFrame, links: int) -> DataFrame:
+    """e (a, b) with the least m of its a, from low (a, m, n: links of a). Heavy nodes' rows stay where they are: their few least
+    values are broadcast, by a proven bound; the rest join by a."""
+    heavy = F.col("n") > max(HEAVY, links // SHARE)
+    few = F.broadcast(low.where(heavy).select("a", "m"))
+    return e.join(few, "a").union(e.join(few, "a", "left_anti").join(low.where(~heavy).select("a", "m"), "a"))
+
+
+def _large_star(e: DataFrame, links: int) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.where("b > a"), low, links).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, links: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down.where("a <> b"), low, links).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -30,12 +42,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     links may repeat and run either way; links with a null end and links of a node to itself are no links.
     """
-    e = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    e = cut(_small_star(e))
-    before = None
+    e = cut(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (F.col(a).isNull() | F.col(b).isNull()).alias("open")).where("not open and a <> b").select("a", "b").distinct())
+    n = e.count()
+    e, before = cut(_small_star(e, n)), None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(now) == before or now[0] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         before = tuple(now)
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e, now[0]), now[0]))

@@ -5,21 +5,26 @@ nearest to the rotated vector, a key is `width` of them, and each table has a ke
 the buckets of its `probes` next best keys. Vectors that meet in a bucket are verified by their cosine in double
 precision. Equal vectors are one class from the start.
 
+Ids and sketches (64 signs of random projections) meet first. In buckets of up to BLOCK classes only those whose sketch is near
+another's go on with their vectors; related vectors are further apart than that in one of 10^4 pairs.
+
 A bucket's members are compared in blocks of bounded size: a bucket of more than BLOCK classes is split into blocks, each
-pair of blocks a task's cell of its own. A link is counted only in the first bucket where its ends meet, which both
+pair of blocks a task's cell of its own. Keys are computed once for each class and travel with the vectors. A link is counted only in the first bucket where its ends meet, which both
 ends' keys tell, so no pair ever leaves a cell: a cell gives counts for each class, and its links as stars.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import cut, small_batches
+from ._common import cut, small_batches, stored
 from .components import components
 
 BLOCK = 1024
@@ -123,6 +128,18 @@ def _cell(table: int, key: int, ids: np.ndarray, weight: np.ndarray, block: np.n
     return counts, ids[label]
 
 
+def sketch(u: np.ndarray, seed: int) -> np.ndarray:
+    """64 signs of random projections of unit vectors, as a signed number."""
+    planes = np.random.default_rng([seed, 64, u.shape[1]]).standard_normal((u.shape[1], 64))
+    return np.packbits(u @ planes > 0, axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def sketch_radius(least: float) -> int:
+    """Bits in which sketches of vectors with that cosine differ at most, by four standard deviations."""
+    p = math.acos(min(1.0, max(-1.0, least))) / math.pi
+    return math.ceil(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+
+
 def default_shape(n: int, dim: int) -> tuple[int, int]:
     """(tables, width): keys wide enough that unrelated vectors seldom meet, and tables to make up for what wider keys miss."""
     d = 1 << max(1, (max(1, dim) - 1).bit_length())
@@ -143,51 +160,50 @@ def near_duplicates(df: DataFrame, vector_col: str = "embedding", id_col: str =
     small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
     v = F.col("v")
-    rows = df.select(df[id_col].alias("id"), df[vector_col].cast("array<double>").alias("v"))
+    flat = df.schema[vector_col].dataType.elementType.simpleString() if isinstance(df.schema[vector_col].dataType, T.ArrayType) else ""
+    rows = df.select(df[id_col].alias("id"), df[vector_col].cast(f"array<{flat if flat in ('float', 'double') else 'double'}>").alias("v"))
     usable = F.coalesce(F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (x == x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(usable, v))
-    classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("w")))
-    n, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
+    merged = stored(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("w")), "vectors")
+    n, dim = merged.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
     auto = default_shape(n, dim or 1)
     tables, width = tables or auto[0], width or auto[1]
     per = 1 + probes
-
-    def arrays(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows, vectors) for each length of vector in a batch."""
-        col = b.column(b.schema.get_field_index("v"))
-        sizes = col.value_lengths().to_numpy(zero_copy_only=False)
-        flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
-        for s in np.unique(sizes):
-            at = np.flatnonzero(sizes == s)
-            yield at, flat[(ends[at] - s)[:, None] + np.arange(s)]
+    vtype = merged.schema["v"].dataType.simpleString()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(b.schema.get_field_index("cid")).to_numpy(zero_copy_only=False)
-            for at, x in arrays(b):
-                k = keys(unit(x), tables, width, probes, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), per), len(at))), pa.array(k.ravel()), pa.array(np.full(k.size, x.shape[1], np.int32)), pa.array(np.repeat(ids[at], tables * per))], ["t", "k", "dim", "cid"])
-
+            col = b.column(0)
+            sizes = col.value_lengths().to_numpy(zero_copy_only=False)
+            flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                u = unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
+                part = b.take(pa.array(at))
+                ks = pa.FixedSizeListArray.from_arrays(pa.array(keys(u, tables, width, probes, seed).ravel()), tables * per).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(at), d, np.int32)), ks, pa.array(sketch(u, seed))], ["v", "cid", "w", "dim", "ks", "sk"])
+
+    classes = stored(merged.select("v", "cid", "w").mapInArrow(keyed, f"v {vtype}, cid {kind}, w long, dim int, ks array<long>, sk long"), "classes")
     bucket = ["t", "k", "dim"]
-    entries = cut(classes.select("cid", "v").mapInArrow(keyed, f"t int, k long, dim int, cid {kind}").distinct())
-    sizes = entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    company = entries.join(sizes, bucket)
+    exploded = classes.select("cid", "dim", "sk", F.posexplode("ks").alias("i", "k")).select((F.col("i") / per).cast("int").alias("t"), "k", "dim", "cid", "sk")
+    entries = stored(exploded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*bucket))).where("n > 1"), "entries")
+    p, q = entries.where(F.col("n") <= BLOCK).alias("p"), entries.where(F.col("n") <= BLOCK).alias("q")
+    same = F.expr(" AND ".join(f"p.{c} = q.{c}" for c in bucket)) & F.expr("p.cid <> q.cid") & (F.bit_count(F.col("p.sk").bitwiseXOR(F.col("q.sk"))) <= sketch_radius(least))
+    company = p.join(q, same, "left_semi").union(entries.where(F.col("n") > BLOCK))
     # blocks of about BLOCK classes; a class of block b goes to the cells (b, j) and (j, b) of all blocks j
     g = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cid", "t"), g).cast("int")
     celled = company.withColumn("g", g).withColumn("block", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     celled = celled.select(*bucket, "cid", "block", F.least("block", "j").alias("c1"), F.greatest("block", "j").alias("c2"))
-    full = celled.join(classes, "cid").select(*bucket, "c1", "c2", "block", "cid", "w", "v")
+    full = celled.join(classes.select("cid", "w", "v", "ks"), "cid").select(*bucket, "c1", "c2", "block", "cid", "w", "v", "ks")
     cell = [*bucket, "c1", "c2"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = full.repartition(parts, *cell).sortWithinPartitions(*cell, "cid")
+    placed = full.repartition(*cell).sortWithinPartitions(*cell, "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def solve(c, ids, w, block, x) -> pa.RecordBatch | None:
-            u = unit(x)
-            counts, centre = _cell(int(c[0]), int(c[1]), ids, w, block, keys(u, tables, width, probes, seed), u, least)
+        def solve(c, ids, w, block, x, ks) -> pa.RecordBatch | None:
+            counts, centre = _cell(int(c[0]), int(c[1]), ids, w, block, ks, unit(x), least)
             at = np.flatnonzero(counts)
             return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(counts[at]), pa.array(centre[at])], ["cid", "n", "centre"]) if len(at) else None
 
@@ -198,12 +214,13 @@ def near_duplicates(df: DataFrame, vector_col: str = "embedding", id_col: str =
             col = b.column(8)
             flat = col.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))])
+            ks = b.column(9).flatten().to_numpy(zero_copy_only=False).reshape(-1, tables, per)
             for s, e in zip(starts[:-1], starts[1:]):
-                yield c[s], ids[s:e], w[s:e], block[s:e], flat[ends[s] : ends[e]].reshape(e - s, -1)
+                yield c[s], ids[s:e], w[s:e], block[s:e], flat[ends[s] : ends[e]].reshape(e - s, -1), ks[s:e]
 
         def done() -> Iterator[pa.RecordBatch]:
             if held and sum(len(h[1]) for h in held) > 1:
-                got = solve(held[0][0], *(np.concatenate([h[i] for h in held]) for i in range(1, 5)))
+                got = solve(held[0][0], *(np.concatenate([h[i] for h in held]) for i in range(1, 6)))
                 if got is not None:
                     yield got
             held.clear()
@@ -215,10 +232,10 @@ def near_duplicates(df: DataFrame, vector_col: str = "embedding", id_col: str =
                 held.append(piece)
         yield from done()
 
-    found = cut(placed.mapInArrow(compare, f"cid {kind}, n long, centre {kind}"))
+    found = stored(placed.mapInArrow(compare, f"cid {kind}, n long, centre {kind}"), "found")
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     root = components(found.where("cid <> centre"), "cid", "centre")
-    named = classes.join(counts, "cid", "left").join(root.withColumnRenamed("node", "cid"), "cid", "left")
+    named = classes.select("v", "cid", "w").join(counts, "cid", "left").join(root.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.select("v", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     out = rows.join(named, "v", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(False)).alias("kept"))
