@@ -50,6 +50,18 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(df, {}).collect()} == {"und"}
 
 
+def test_letters_alone_make_words(spark):
+    """Numerals that are no decimal digits, marks and digits are no letters; letters of any script are."""
+    texts = {1: "½ ² ① Ⅷ ৴", 2: "123 ٣", 3: "\u0301\u0300", 4: "_ - !", 5: "é", 6: "ª", 7: "中", 8: "x²"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(df, {"en": ["e", "x"]}).collect()}
+    assert [i for i in texts if got[i] == ("und", 0.0)] == [1, 2, 3, 4] and all(got[i][0] == "en" for i in (5, 6, 7, 8))
+    import unicodedata
+
+    for c in map(chr, range(0x30000)):
+        assert bool(language_id.LETTERS.match(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+
+
 def test_ordinal_recovers_grades():
     rnd = random.Random(3)
     rows, grades = [], []

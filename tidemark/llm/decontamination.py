@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import free_name, small_batches
 
 #: Words of test items in a block; each block is one pass over the texts.
 BLOCK_WORDS = 200_000
@@ -253,4 +253,5 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def clean(df: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of df, as they are, that hold no passage of a test item."""
-    return annotate(df, benchmark, name="_hits", **kw).where(F.size("_hits") == 0).drop("_hits")
+    hits = free_name(df, "hits")
+    return annotate(df, benchmark, name=hits, **kw).where(F.size(hits) == 0).drop(hits)

@@ -8,6 +8,7 @@ differences, where an n-gram the profile lacks counts as the whole profile's len
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,8 +20,18 @@ from pyspark.sql import functions as F
 from ._common import fraction_for, small_batches
 
 UNDETERMINED = "und"
+
+
+def _no_letters() -> str:
+    """What counts as a word character without being a letter or a decimal digit, as the inside of a character class."""
+    marks = [chr(c) for c in range(sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    return "".join(map(re.escape, marks))
+
+
+#: Runs of letters (Unicode L*).
+LETTERS = re.compile(rf"[^\W\d_{_no_letters()}]+")
 #: N-grams and words a worker remembers; emptied when full.
-GRAMS, WORDS = 300_000, 200_000
+GRAMS, WORDS, HELD_BYTES = 300_000, 200_000, 64_000_000
 
 
 class GramCounter:
@@ -28,16 +39,17 @@ class GramCounter:
 
     def __init__(self, n_max: int):
         self.n_max = n_max
-        self.split = re.compile(r"[^\W\d_]+").findall
+        self.split = LETTERS.findall
         self.forget()
 
     def forget(self) -> None:
         self.ids: dict[str, int] = {}
         self.names: list[str] = []
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def full(self) -> bool:
-        return len(self.ids) > GRAMS or len(self.known) > WORDS
+        return len(self.ids) > GRAMS or len(self.known) > WORDS or self.held > HELD_BYTES
 
     def grams(self, word: str) -> list[str]:
         w = f" {word} "
@@ -51,6 +63,7 @@ class GramCounter:
                 self.names.append(g)
             out.append(i)
         got = self.known[word] = np.array(out, "<i4").tobytes()
+        self.held += 4 * len(word) + len(got)
         return got
 
     def counts(self, text: str) -> np.ndarray | None:

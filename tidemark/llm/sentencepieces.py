@@ -21,6 +21,7 @@ from ._common import small_batches
 SPACE = "▁"
 #: Words whose ids a worker remembers; emptied when full.
 REMEMBERED = 250_000
+REMEMBERED_BYTES = 64_000_000
 #: Cells of a matrix of substring hashes at once.
 CELLS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +75,7 @@ class PieceCodec:
         line = "\n" if all("\n" not in p or len(p) == 1 for p, _, _ in usable) else ""
         self._words = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}" if line else "")).findall
         self._known: dict[str, bytes] = {}
+        self._held = 0  # bytes of known words and their ids
         self._bytes = [self._piece_bytes(i) for i in range(len(self.pieces))]
 
     def _hash(self, piece: str) -> np.uint64:
@@ -93,8 +95,9 @@ class PieceCodec:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes | None]:
         """For each text its ids as bytes of little-endian int32; null gives null."""
-        if len(self._known) > REMEMBERED:
+        if len(self._known) > REMEMBERED or self._held > REMEMBERED_BYTES:
             self._known.clear()
+            self._held = 0
         cut = [None if t is None else self.words(t) for t in texts]
         new = {w for ws in cut if ws for w in ws}.difference(self._known)
         self._learn(new)
@@ -106,7 +109,7 @@ class PieceCodec:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
-            step = max(1, CELLS // min(n, self.longest) // 4)
+            step = max(1, CELLS // n // 4)
             for i in range(0, len(group), step):
                 self._search(group[i : i + step], n)
 
@@ -159,7 +162,8 @@ class PieceCodec:
                     else:
                         full.append(self.model["unk"])
                 ids = np.array(full, np.int32)
-            self._known[w] = ids.astype("<i4").tobytes()
+            got = self._known[w] = ids.astype("<i4").tobytes()
+            self._held += 4 * len(w) + len(got)
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

@@ -21,6 +21,7 @@ from ._common import small_batches
 
 #: Words whose counts a worker remembers; the memory is emptied when full, never wrong.
 REMEMBERED = 400_000
+REMEMBERED_BYTES = 64_000_000
 
 
 def _punctuation() -> str:
@@ -57,6 +58,7 @@ class WordPieceCounter:
             ends.add(node)
         self._link(ends)
         self._known: dict[str, int] = {}
+        self._held = 0  # bytes of known words
         self._split = re.compile(f"[{(p := _punctuation())}]|[^\\s{p}]+").findall
 
     def _link(self, ends: set[int]) -> None:
@@ -104,12 +106,14 @@ class WordPieceCounter:
             return 0, 0
         known, pieces = self._known, 0
         found = self._split(text)
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self._held > REMEMBERED_BYTES:
             known.clear()
+            self._held = 0
         for w, n in Counter(found).items():
             k = known.get(w)
             if k is None:
                 k = known[w] = self.word(w)
+                self._held += 4 * len(w)
             pieces += k * n
         return len(found), pieces
 
