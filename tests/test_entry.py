@@ -43,10 +43,17 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_rest_works_without_the_training_data_operators(tmp_path):
-    for name in ("tidemark", "tests", "__spark_entry__.py"):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_rest_works_without_the_training_data_operators(tmp_path, pipeline):
+    """A whole copy without the two folders, with and without the pipeline's file: the entry module and the other tests work."""
+    for name in ("tidemark", "tests", "__spark_entry__.py", *["corpus_pipeline.py"] * pipeline):
         src = os.path.join(HERE, name)
-        (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
-    shutil.rmtree(tmp_path / "tidemark" / "llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; assert 'map_upsert' in e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries()); e.oracle_sql()"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+        if os.path.exists(src):
+            (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
+    for name in ("tidemark", "tests"):
+        shutil.rmtree(tmp_path / name / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; assert 'map_upsert' in e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries()); assert set(e.oracle_sql()) == set(e.queries())"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True)
+    only = ["-k", "test_entry or union or bounds"]
+    subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests", *only, "--deselect", "tests/test_entry.py::test_rest_works_without_the_training_data_operators"], cwd=tmp_path, env=env, check=True)

@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import pytest
@@ -188,3 +189,38 @@ def test_overlap_model(spark, a, b):
 def test_merge_ranges(spark):
     df = spark.createDataFrame([(1, 5), (3, 9), (-2, 0)], "lo long, hi long")
     assert rows(merge_ranges(df)) == [(-2, 9)]
+
+
+def test_repeated_keys_in_a_batch(spark):
+    m = OrderedMap(spark.createDataFrame([(1, 1), (3, 3)], "key long, value long"))
+    new, old = m.insert(spark.createDataFrame([(2, 1), (2, 5), (1, None), (None, 7)], "key long, value long"))
+    assert sorted((r.key, r.value) for r in new.df.collect()) == [(1, None), (2, 5), (3, 3)] and [tuple(r) for r in old.collect()] == [(1, 1)]
+    changed = m.update_at(spark.createDataFrame([(1, 4), (1, 9), (1, None), (8, 8)], "key long, value long"))
+    assert sorted(tuple(r) for r in changed.df.collect()) == [(1, 9), (3, 3)]
+
+
+def test_probes_with_clashing_columns(spark):
+    m = OrderedMap(spark.createDataFrame([(1, 10), (5, None)], "key long, value long"))
+    probes = spark.createDataFrame([(1, "a", "b", "c", "d", 0), (5, "a", "b", "c", "d", 0), (9, "a", "b", "c", "d", 0), (None, "a", "b", "c", "d", 0)], "key long, found string, value string, _p string, hit string, at int")
+    got = sorted(m.get(probes).collect(), key=str)
+    assert sorted((r.key or 0, r.value or 0, r.found) for r in got) == [(0, 0, False), (1, 10, True), (5, 0, True), (9, 0, False)] and all((r._p, r.hit, r.at) == ("c", "d", 0) for r in got)
+    assert sorted((r.key or 0, r.found) for r in m.contains(probes).collect()) == [(0, False), (1, True), (5, True), (9, False)]
+    assert sorted((r.key or 0, r.found or 0, r.value) for r in m.floor(probes, "key").collect()) == [(0, 0, "b"), (1, 1, "b"), (5, 5, "b"), (9, 5, "b")]
+
+
+def test_bounds_of_one_hot_key(spark):
+    """Half of all rows have one key: the driver sees a key once, and no more of them than stated."""
+    module = importlib.import_module("tidemark.operators.asof")
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    seen = []
+    collect = type(df).collect
+    try:
+        type(df).collect = lambda self: seen.append(collect(self)) or seen[-1]
+        bounds = module.range_bounds(df, "k", 8)
+    finally:
+        type(df).collect = collect
+    assert max(map(len, seen)) <= 8 * module.SAMPLE and len(bounds) == 7 and bounds == sorted(bounds)
+    assert 2000 < bounds[0] < 9000 and 31_000 < bounds[-1] < 38_000
+    q = spark.createDataFrame([(6,), (7,), (8,), (39_999,)], "q long")
+    assert sorted((r.q, r.found) for r in module.asof(q, df, key="k").collect()) == [(6, 5), (7, 7), (8, 7), (39_999, 39_999)]

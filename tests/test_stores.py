@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.plans import Files, Leveled, Manifest, Run, SizeTiered, ranges_overlap
+from tidemark.plans import Files, Leveled, Manifest, Run, SizeTiered, ranges_overlap, register_strategy
 from tidemark.sources import LogStore, SortedStore, live_view, run_summary
 from tidemark.sources.log_store import latest_versions
 from tidemark.streaming import latest_stream, write_stream
@@ -82,10 +82,66 @@ def test_binary_keys_and_conflicts(spark, tmp_path):
     row = spark.createDataFrame([(b"\xff", 1), (b"", 2)], "key binary, value long")
     a.insert(row)
     a.flush()
-    b.insert(row)
-    with pytest.raises(FileExistsError):
-        b.flush()
-    assert LogStore.open(spark, path).manifest.runs[0].key_max == b"\xff" and LogStore.open(spark, path).get_key(b"").head().value == 2
+    b.insert(spark.createDataFrame([(b"", 3)], "key binary, value long"))
+    b.flush()  # behind what a committed meanwhile: neither is lost, and b's write is the newer one
+    now = LogStore.open(spark, path)
+    assert len(now.manifest.runs) == 2 and now.manifest.runs[0].key_max == b"\xff" and now.get_key(b"").head().value == 3 and now.get_key(b"\xff").head().value == 1
+    assert now.manifest.runs[1].lt_min > now.manifest.runs[0].lt_max
+    a.append_run(spark.createDataFrame([(b"", 4, False)], "key binary, value long, is_tombstone boolean"))
+    assert len(a.manifest.runs) == 3 and a.get_key(b"").head().value == 4
+
+
+def test_one_of_two_commits_wins(spark, tmp_path):
+    """Many writers of one version: the file system lets one through."""
+    files = Files(spark, f"file://{tmp_path}/m")
+    files.mkdirs(files.root)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(i):
+        try:
+            files.write_once(files.at("v"), str(i))
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(write, range(24)) if x is not None]
+    assert len(won) == 1 and files.read(files.at("v")) == str(won[0]) and files.names(files.root) == ["v"]
+
+
+def test_garbage_leaves_what_is_being_written(spark, tmp_path):
+    store = LogStore.create(spark, f"file://{tmp_path}/s", "long", "long", STRATEGIES[0])
+    store.insert(kv(spark, {1: 1}))
+    store.flush()
+    filling = store.files.at("runs/filling")
+    store.files.mkdirs(filling)
+    assert store.collect_garbage() == 0 and store.files.exists(filling)
+    assert store.collect_garbage(grace=-1) == 1 and view(store) == {1: 1}
+    for i in range(15):
+        store.insert(kv(spark, {i: i}))
+        store.flush()
+    store.collect_garbage(versions=3)
+    assert len(Manifest.versions(store.files)) == 3 and view(LogStore.open(spark, store.files.root)) == {i: i for i in range(15)}
+
+
+class Never:
+    max_in_memory_size = 10
+
+    def next_job(self, runs):
+        return None
+
+    def params(self):
+        return {"kind": "never"}
+
+
+def test_strategies_of_ones_own(spark, tmp_path):
+    register_strategy("never", Never)
+    path = f"file://{tmp_path}/s"
+    store = LogStore.create(spark, path, "long", "long", Never())
+    for i in range(3):
+        store.insert(kv(spark, {i: i}))
+    store = LogStore.open(spark, path)
+    assert isinstance(store.strategy, Never) and len(store.manifest.runs) == 3 and store.compact() == 0
 
 
 def test_compaction_keeps_runs_flushed_meanwhile(spark, tmp_path):
@@ -114,6 +170,12 @@ def test_size_tiered_rules():
     assert set(s.bucket(tuple(small))) == set(small) and s.bucket(tuple(small[:2])) == ()
     far = run(10_000, 500, 600, 9)
     assert set(s.bucket((*small[:2], far))) == {*small[:2], far}  # the run that breaks the bucket counts
+    # averages include the run at hand, and a bucket too small to merge goes with the run that breaks it
+    sizes = SizeTiered(0, 4, 4000, 0.5, 1.5)
+    one = [run(x, i, i, i) for i, x in enumerate((11_461, 12_019, 17_725, 18_885, 35_562))]
+    assert [r.size for r in sizes.bucket(tuple(one))] == [11_461, 12_019, 17_725, 18_885, 35_562]
+    broken = [run(x, i, i, i) for i, x in enumerate((10_000, 100_000, 1_000_000, 1_000_001, 1_000_002, 1_000_003))]
+    assert sizes.bucket(tuple(broken)) == () and [r.size for r in SizeTiered(0, 3, 4000, 0.5, 1.5).bucket(tuple(broken))] == [1_000_000, 1_000_001, 1_000_002, 1_000_003]
     some = (*small, run(10_000, 20, 30, 3))
     job = s.next_job((*some, run(10**6, 100, 200, 50)))
     assert set(job.inputs) == set(some) and job.drop_tombstones  # the rest is newer and has other keys
@@ -126,6 +188,8 @@ def test_leveled_rules():
     job = s.next_job((run(1, 0, 9, 5), run(1, 0, 9, 6), run(1, 0, 9, 1, level=0), run(1, 0, 5, 0, level=1)))
     assert len(job.inputs) == 3 and job.level == 0 and not job.drop_tombstones
     assert s.next_job((run(1, 0, 9, 5), run(1, 0, 9, 6))).drop_tombstones
+    three = (run(1, 0, 4, 5, tomb=1, level=0), run(1, 5, 9, 5, tomb=3, level=0), run(1, 10, 14, 5, tomb=3, level=0))
+    assert s.next_job(three).inputs == (three[2], three[1]) and s.next_job(three).move  # all that are too many, at once
     zero = (run(1, 0, 4, 5, tomb=1, level=0), run(1, 5, 9, 5, tomb=3, level=0))
     job = s.next_job(zero)
     assert job.move and job.level == 1 and job.inputs == (zero[1],)

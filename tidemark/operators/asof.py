@@ -17,11 +17,13 @@ SAMPLE = 64
 
 
 def range_bounds(keys: DataFrame, key: str, ranges: int) -> list:
-    """Up to ranges - 1 ascending bounds that cut the keys about evenly; bounded by SAMPLE * ranges sampled keys."""
-    n = keys.count()
+    """Up to ranges - 1 ascending bounds that cut the distinct keys about evenly. SAMPLE * ranges keys, chosen by a hash, reach the
+    driver at most, however often a key repeats."""
     want = SAMPLE * ranges
-    some = keys if n <= want else keys.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int((1 << 30) * want / n))
-    found = sorted(r[0] for r in some.select(key).where(F.col(key).isNotNull()).collect())
+    k, by = keys.select(F.col(key).alias("k")).where("k is not null"), F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    n = k.agg(F.approx_count_distinct("k")).head()[0]
+    some = k if n <= want else k.where(by < int((1 << 30) * want / n))
+    found = sorted(r[0] for r in some.distinct().orderBy(by, "k").limit(want).collect())
     return list(dict.fromkeys(found[i * len(found) // ranges] for i in range(1, ranges) if found))
 
 
@@ -40,30 +42,41 @@ def range_of(bounds: list, col: Column, kind) -> Column:
 
 
 def asof(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key", direction: str = "backward", ranges: int | None = None) -> DataFrame:
-    """All rows of probes with one more column, `found`: the key, null if there is none (or the probe is null).
+    """All rows of probes with one more column, `found`: the key, null if there is none (or the probe is null). A column of that name
+    that probes has is replaced; others may have any names.
 
-    keys may repeat; null keys are ignored. direction: backward (greatest key <= probe) or forward (least key >= probe).
+    keys may repeat (each counts once, before any shuffle); null keys are ignored. direction: backward (greatest key <= probe) or forward (least key >= probe).
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)
     forward = direction == "forward"
     kind = probes.schema[probe].dataType
-    k = keys.select(F.col(key).cast(kind).alias("_p")).where("_p is not null")
-    q = probes.select(F.col(probe).alias("_p")).where("_p is not null").distinct()
+    k = keys.select(F.col(key).cast(kind).alias("p")).where("p is not null").distinct()
+    q = probes.select(F.col(probe).alias("p")).where("p is not null").distinct()
     ranges = ranges or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(k, "_p", ranges)
-    both = k.withColumn("_probe", F.lit(False)).union(q.withColumn("_probe", F.lit(True))).withColumn("_range", range_of(bounds, F.col("_p"), kind))
-    own = F.when(~F.col("_probe"), F.col("_p"))
+    bounds = range_bounds(keys.select(F.col(key).cast(kind).alias("p")), "p", ranges)
+    both = k.withColumn("probe", F.lit(False)).union(q.withColumn("probe", F.lit(True))).withColumn("range", range_of(bounds, F.col("p"), kind))
+    own = F.when(~F.col("probe"), F.col("p"))
     # at an equal value the key comes first, in either direction
-    w = Window.partitionBy("_range").orderBy(F.col("_p").desc() if forward else F.col("_p").asc(), F.col("_probe").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    within = both.withColumn("_near", F.last(own, ignorenulls=True).over(w)).where("_probe")
-    edge = both.where(~F.col("_probe")).groupBy("_range").agg((F.min if forward else F.max)("_p").alias("_edge"))
+    w = Window.partitionBy("range").orderBy(F.col("p").desc() if forward else F.col("p").asc(), F.col("probe").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    within = both.withColumn("near", F.last(own, ignorenulls=True).over(w)).where("probe")
+    edge = both.where(~F.col("probe")).groupBy("range").agg((F.min if forward else F.max)("p").alias("edge"))
     # one row for each range: the edges of the ranges before it
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("_range").desc() if forward else F.col("_range").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    every = probes.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("_range"))
-    carried = every.join(edge, "_range", "left").withColumn("_carry", F.last("_edge", ignorenulls=True).over(order)).select("_range", "_carry")
-    found = within.join(F.broadcast(carried), "_range", "left").select("_p", F.coalesce("_near", "_carry").alias("found"))
-    return probes.join(found, probes[probe] == found["_p"], "left").drop("_p")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc() if forward else F.col("range").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = probes.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("range"))
+    carried = every.join(edge, "range", "left").withColumn("carry", F.last("edge", ignorenulls=True).over(order)).select("range", "carry")
+    found = within.join(F.broadcast(carried), "range", "left").select("p", F.coalesce("near", "carry").alias("found"))
+    return with_found(probes, F.col(probe), found.select(F.col("p").alias("key"), F.struct("found").alias("value")), lambda hit: [hit["found"].alias("found")])
+
+
+def with_found(probes: DataFrame, at: Column, table: DataFrame, cols) -> DataFrame:
+    """probes left-joined to a table (key, value) whose keys are unique, by a column of theirs; with the columns that `cols` makes of the
+    value, null on a miss, in place of any of those names. Probes travel as one struct, so no other name can clash."""
+    rows = probes.select(F.struct(*[F.col(c) for c in probes.columns]).alias("row"), at.alias("at"))
+    hit = table.select(F.col("key").alias("at"), F.col("value").alias("hit"))
+    joined, new = rows.join(hit, "at", "left"), cols(F.col("hit"))
+    names = joined.select(*new).columns
+    return joined.select(*[F.col("row")[c].alias(c) for c in probes.columns if c not in names], *new)
 
 
 def floor(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import check_key_type
-from .asof import asof, range_bounds, range_of
+from .asof import asof, range_bounds, range_of, with_found
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -112,10 +112,10 @@ class _Keyed:
     # lookups
 
     def contains(self, probes: DataFrame) -> DataFrame:
-        """probes (a column of keys) with found."""
+        """probes (a column of keys) with found, in place of a column of theirs of that name."""
         name = self.key if self.key in probes.columns else probes.columns[0]
-        mine = self.df.select(F.col(self.key).alias(name), F.lit(True).alias("found"))
-        return probes.join(mine, name, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        mine = self.df.select(F.col(self.key).alias("key"), F.lit(True).alias("value"))
+        return with_found(probes, F.col(name), mine, lambda hit: [F.coalesce(hit, F.lit(False)).alias("found")])
 
     def contains_key(self, key) -> bool:
         return not self.df.where(F.col(self.key) == F.lit(key)).isEmpty()
@@ -191,19 +191,20 @@ class OrderedMap(_Keyed):
     """A table of a key column and value columns."""
 
     def insert(self, rows: DataFrame, order: list[str] | None = None) -> tuple[OrderedMap, DataFrame]:
-        """Upsert: (the new map, the entries that were replaced). Of rows with one key the last in `order` counts."""
-        delta = rows.where(F.col(self.key).isNotNull())
-        if order:
-            delta = latest(delta, self.key, order)
-        delta = delta.select(self.df.columns)
-        kept, old = self.remove(delta.select(self.key))
+        """Upsert: (the new map, the entries that were replaced). Of rows with one key the last in `order` counts, without it the one
+        with the greatest values; null keys go."""
+        rest = [c for c in self.df.columns if c != self.key]
+        delta = latest(rows.where(F.col(self.key).isNotNull()), self.key, order or rest).select(self.df.columns)
+        kept, old = self.remove(rows.select(self.key))
         return self._new(kept.df.unionByName(delta)), old
 
     def get(self, probes: DataFrame) -> DataFrame:
-        """probes (a column of keys) with the value columns and found, which tells a null value from a missing key."""
+        """probes (a column of keys) with the value columns and found, which tells a null value from a missing key; they take the place
+        of columns of theirs of those names."""
         name = self.key if self.key in probes.columns else probes.columns[0]
-        mine = self.df.withColumn("found", F.lit(True)).withColumnRenamed(self.key, name)
-        return probes.join(mine, name, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        rest = [c for c in self.df.columns if c != self.key]
+        mine = self.df.select(F.col(self.key).alias("key"), F.struct(*rest).alias("value"))
+        return with_found(probes, F.col(name), mine, lambda hit: [*[hit[c].alias(c) for c in rest], hit.isNotNull().alias("found")])
 
     def get_key(self, key) -> DataFrame:
         """The value of one key, no row if missing: an equality that reaches the scan."""
@@ -228,10 +229,12 @@ class OrderedMap(_Keyed):
         return self._new(self.df.withColumn(value, expr))
 
     def update_at(self, changes: DataFrame, value: str = "value") -> OrderedMap:
-        """Point updates (key, value) of keys that exist; others change nothing."""
-        c = changes.select(F.col(self.key), F.struct(F.col(value).alias("v")).alias("_new"))
-        j = self.df.join(c, self.key, "left")
-        return self._new(j.withColumn(value, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(value))).select(self.df.columns))
+        """Point updates (key, value) of keys that exist; others change nothing. Of several changes of a key the one with the greatest
+        value counts (null is the least)."""
+        new = changes.groupBy(F.col(self.key).alias("key")).agg(F.max(F.struct(F.col(value).alias("v"))).alias("value"))
+        old = F.col("row")[value]
+        rows = self.df.select(F.struct(*[F.col(c) for c in self.df.columns]).alias("row"), F.col(self.key).alias("key")).join(new, "key", "left")
+        return self._new(rows.select(*[F.when(F.col("value").isNotNull(), F.col("value")["v"]).otherwise(old).alias(c) if c == value else F.col("row")[c].alias(c) for c in self.df.columns]))
 
     def key_set(self) -> OrderedSet:
         return OrderedSet(self.keys(), self.key)

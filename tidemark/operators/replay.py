@@ -64,9 +64,9 @@ def arena_replay(log: DataFrame, arena: str = "arena_id", chunk_size: int = 1024
     return placed.mapInArrow(run, f"`{arena}` {akind}, seq long, op string, chunk_index long, block_index long, result {kind}, found boolean")
 
 
-def arena_get(slots: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes (chunk_index, block_index) with value and found, from a table of occupied slots."""
-    at = ["chunk_index", "block_index"]
+def arena_get(slots: DataFrame, probes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """probes (chunk_index, block_index, and what `by` names for each arena) with value and found, from a table of occupied slots."""
+    at = [*(by or []), "chunk_index", "block_index"]
     return probes.join(slots.select(*at, "value", F.lit(True).alias("found")), at, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -1,6 +1,6 @@
 """Lists as rows (list_id, pos, value): positions count from 0 without gaps, values may repeat.
 
-An edit table has one edit for each list. Array columns have the same edits in tidemark.functions.
+An edit table has one edit for each list (set: one for each position); more are an error. Array columns have the same edits in tidemark.functions.
 """
 
 from __future__ import annotations
@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _once(edits: DataFrame, by: tuple[str, ...] = ("list_id",)) -> DataFrame:
+    """The edits; an error where one list (or place) has several."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    return edits.withColumn("index", F.when(n > 1, F.raise_error(F.lit("more than one edit of a list or place"))).otherwise(F.col("index")))
+
+
 class ListTable:
     def __init__(self, df: DataFrame, list_id: str = "list_id", pos: str = "pos", value: str = "value"):
         self.df = df.select(F.col(list_id).alias("list_id"), F.col(pos).cast("long").alias("pos"), F.col(value).alias("value"))
@@ -43,11 +49,12 @@ class ListTable:
     def scan(self) -> DataFrame:
         return self.df.orderBy("list_id", "pos")
 
-    def _edits(self, edits: DataFrame, extra: int) -> DataFrame:
+    def _edits(self, edits: DataFrame, extra: int, by: tuple[str, ...] = ("list_id",)) -> DataFrame:
         """edits (list_id, index[, value]) with the list's length; an error where the index is over the length + extra - 1."""
         e = edits.join(self.len(), "list_id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
         bad = (F.col("index") < 0) | (F.col("index") >= F.col("len") + extra)
-        return e.withColumn("index", F.when(bad, F.raise_error(F.concat(F.lit("index out of range: "), F.col("index").cast("string")))).otherwise(F.col("index")))
+        e = e.withColumn("index", F.when(bad, F.raise_error(F.concat(F.lit("index out of range: "), F.col("index").cast("string")))).otherwise(F.col("index")))
+        return _once(e, by)
 
     def insert(self, edits: DataFrame) -> ListTable:
         """edits (list_id, index, value): the value goes before the index; the length itself appends."""
@@ -87,7 +94,7 @@ class ListTable:
 
     def set(self, edits: DataFrame) -> ListTable:
         """edits (list_id, index, value): positional write; an error out of range."""
-        e = self._edits(edits, 0).select("list_id", F.col("index").cast("long").alias("pos"), F.struct("value").alias("new"))
+        e = self._edits(edits, 0, ("list_id", "index")).select("list_id", F.col("index").cast("long").alias("pos"), F.struct("value").alias("new"))
         j = self.df.join(e, ["list_id", "pos"], "left")
         return self._new(j.withColumn("value", F.when(F.col("new").isNotNull(), F.col("new.value")).otherwise(F.col("value"))))
 
@@ -104,7 +111,8 @@ class ListTable:
 
     def split(self, edits: DataFrame, left_inclusive: bool = False) -> tuple[ListTable, ListTable]:
         """edits (list_id, index): (elements before the index, the others moved to 0); lists without an edit stay left."""
-        j = self.df.join(edits.select("list_id", (F.col("index") + int(left_inclusive)).alias("index")), "list_id", "left")
+        e = _once(edits.select("list_id", "index")).select("list_id", (F.col("index") + int(left_inclusive)).alias("index"))
+        j = self.df.join(e, "list_id", "left")
         right = F.coalesce(F.col("pos") >= F.col("index"), F.lit(False))
         return self._new(j.where(~right)), self._new(j.where(right).withColumn("pos", F.col("pos") - F.col("index")))
 

@@ -1,4 +1,4 @@
-"""Manifests: small, versioned lists of immutable runs, committed by a rename that fails if the version exists.
+"""Manifests: small, versioned lists of immutable runs, committed by a step that fails if the version exists.
 
 All file access goes through Hadoop's file system API, so a store can be wherever Spark can write.
 """
@@ -9,6 +9,8 @@ import base64
 import datetime
 import decimal
 import json
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -43,16 +45,39 @@ class Files:
             stream.close()
 
     def write_once(self, path: str, text: str) -> None:
-        """Creates the file with its whole content, or fails if it exists."""
+        """Creates the file with its whole content, or fails if it exists.
+
+        The deciding step is one that the file system does at once: a hard link on local disks, where a rename replaces its target;
+        a rename on HDFS, which refuses to; elsewhere (object stores) a file that is made visible by its close and only where there is
+        none, which is as safe as the store's conditional writes."""
+        scheme = self.fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            try:
+                return self._create(path, text)
+            except Exception as e:
+                if "FileAlreadyExists" in str(e):
+                    raise FileExistsError(path) from e
+                raise
         temp = f"{path}.{uuid.uuid4().hex}.tmp"
-        stream = self.fs.create(self._path(temp), False)
+        self._create(temp, text)
+        try:
+            if scheme == "file":
+                os.link(self._path(temp).toUri().getPath(), self._path(path).toUri().getPath())
+            elif self.exists(path) or not self.fs.rename(self._path(temp), self._path(path)):
+                raise FileExistsError(path)
+        finally:
+            self.delete(temp)
+
+    def _create(self, path: str, text: str) -> None:
+        stream = self.fs.create(self._path(path), False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(path) or not self.fs.rename(self._path(temp), self._path(path)):
-            self.delete(temp)
-            raise FileExistsError(path)
+
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self.fs.getFileStatus(self._path(path)).getModificationTime() / 1000
 
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
@@ -115,8 +140,13 @@ class Manifest:
         return self
 
     @classmethod
-    def load(cls, files: Files) -> Manifest:
-        names = [n for n in files.names(files.at(cls.FOLDER)) if n.endswith(".json")]
+    def versions(cls, files: Files) -> list[str]:
+        return [n for n in files.names(files.at(cls.FOLDER)) if n.endswith(".json")]
+
+    @classmethod
+    def load(cls, files: Files, name: str | None = None) -> Manifest:
+        """The newest version, or the named one."""
+        names = [name] if name else cls.versions(files)
         if not names:
             raise FileNotFoundError(f"no store at {files.root}")
         d = json.loads(files.read(files.at(f"{cls.FOLDER}/{names[-1]}")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import ListTable, OrderedMap, OrderedSet, arena_append_slots, arena_replay, ceil, floor, longest_prefix, merge_ranges, overlap_join, stack_replay, stack_sizes
-from .plans import Leveled, SizeTiered
+from .functions.checks import fixed_size
+from .operators import ListTable, OrderedMap, OrderedSet, arena_append_slots, arena_get, arena_replay, ceil, floor, longest_prefix, merge_ranges, overlap_join, stack_replay, stack_sizes
+from .plans import Leveled, Run, SizeTiered
 from .sources import LogStore, SortedStore, live_view, run_summary
 from .sources.scratch import scratch
 from .streaming import write_stream
@@ -108,6 +109,19 @@ def map_point_update(spark, sf_dir):
     return customers(spark, sf_dir).update_at(changes).df
 
 
+@query("SELECT o_orderkey AS key, CASE WHEN l_orderkey IS NULL THEN o_totalprice ELSE price END AS value FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS price FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
+def map_upsert_repeated_keys(spark, sf_dir):
+    """A batch that repeats keys, without an order: the greatest value of each counts."""
+    batch = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_extendedprice").alias("value"))
+    return orders(spark, sf_dir).insert(batch)[0].df
+
+
+@query("SELECT p_partkey AS key, CASE WHEN l_partkey IS NULL THEN p_retailprice ELSE price END AS value FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS price FROM lineitem GROUP BY l_partkey) l ON l_partkey = p_partkey")
+def map_point_update_repeated_keys(spark, sf_dir):
+    changes = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_extendedprice").alias("value"))
+    return parts(spark, sf_dir).update_at(changes).df
+
+
 @query("SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE 1 = 0")
 def map_clear(spark, sf_dir):
     return customers(spark, sf_dir).clear().df
@@ -199,16 +213,17 @@ def asof_ceil(spark, sf_dir):
     return ceil(*_asof_tables(spark, sf_dir))
 
 
-# set algebra: left = even orders, right = multiples of 3 below 9000 with negated prices, so a left tail follows the right's end
+# set algebra: left = even orders, right = multiples of 3 in the first three fifths with negated prices, so a left tail follows the right's end
 
 
 def _sides(spark, sf_dir) -> tuple[OrderedMap, OrderedMap]:
     m = orders(spark, sf_dir)
-    return OrderedMap(m.df.where("key % 2 = 0")), OrderedMap(m.df.where("key % 3 = 0 and key < 9000").withColumn("value", -F.col("value")))
+    edge = (m.max() or 0) * 3 // 5
+    return OrderedMap(m.df.where("key % 2 = 0")), OrderedMap(m.df.where(f"key % 3 = 0 and key < {edge}").withColumn("value", -F.col("value")))
 
 
 _L = "(SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey % 2 = 0) l"
-_R = "(SELECT o_orderkey AS key, -o_totalprice AS value FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 9000) r"
+_R = "(SELECT o_orderkey AS key, -o_totalprice AS value FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < (SELECT max(o_orderkey) * 3 // 5 FROM orders)) r"
 
 
 @query(f"SELECT coalesce(l.key, r.key) AS key, CASE WHEN l.key IS NOT NULL THEN l.value ELSE r.value END AS value FROM {_L} FULL JOIN {_R} ON l.key = r.key")
@@ -302,18 +317,33 @@ def lsm_len_hint(spark, sf_dir):
     return s.agg(F.sum(F.col("entry_count") - F.col("tombstone_count")).alias("len_hint"))
 
 
-def _filled(spark, sf_dir, strategy) -> LogStore:
-    """A store that took the log in eight batches, with flushes and compactions between them."""
-    store = LogStore.create(spark, scratch(spark, "lsm"), "long", "double", strategy)
+def _batches(spark, sf_dir) -> list[DataFrame]:
+    """The log in eight parts by time, each with the newest version of its keys."""
     edges = read(spark, sf_dir, "events").agg(F.max("event_id")).head()[0] // 8 + 1
-    for i in range(8):
-        part = _log(spark, sf_dir).where((F.col("logical_time") >= i * edges) & (F.col("logical_time") < (i + 1) * edges))
-        newest = OrderedMap.from_rows(part, "key", ["logical_time"]).df
-        store.append_run(newest.select("key", "value", "is_tombstone"))
+    part = lambda i: _log(spark, sf_dir).where((F.col("logical_time") >= i * edges) & (F.col("logical_time") < (i + 1) * edges))
+    return [OrderedMap.from_rows(part(i), "key", ["logical_time"]).df.select("key", "value", "is_tombstone") for i in range(8)]
+
+
+_PART = "(SELECT *, event_id // ((SELECT max(event_id) FROM events) // 8 + 1) AS part FROM events)"
+_IN_PART = f"(SELECT part, user_id, arg_max({_DEAD}, event_id) AS dead, arg_max(value, event_id) AS value FROM {_PART} p GROUP BY 1, 2)"
+
+
+def _store(spark, strategy) -> LogStore:
+    return LogStore.create(spark, scratch(spark, "lsm"), "long", "double", strategy)
+
+
+def _filled(spark, sf_dir, strategy) -> LogStore:
+    """A store that took the log in eight batches, with compactions between them."""
+    store = _store(spark, strategy)
+    for part in _batches(spark, sf_dir):
+        store.append_run(part)
         store.compact()
     return store
 
 
+_LOOSE = SizeTiered(1 << 40, 100, 1 << 40, 0.5, 1.5)  # never compacts eight runs
+
+
 @query(_VIEW)
 def lsm_compact_size_tiered(spark, sf_dir):
     return _filled(spark, sf_dir, SizeTiered(1000, 4, 4000, 0.5, 1.5)).view()
@@ -359,9 +389,138 @@ def lsm_stream(spark, sf_dir):
     return store.view()
 
 
+@query(f"SELECT user_id AS key, CASE WHEN dead THEN NULL ELSE value END AS value, dead AS is_tombstone, CAST(2 AS BIGINT) AS logical_time FROM {_IN_PART} p WHERE part = 2")
+def lsm_scan_run(spark, sf_dir):
+    """All entries of the third run, tombstones included."""
+    store = _filled(spark, sf_dir, _LOOSE)
+    return store.scan_run(store.manifest.runs[2])
+
+
+@query(f"SELECT value FROM ({_VIEW}) v WHERE key = 42")
+def lsm_get_key(spark, sf_dir):
+    """One key, by runs whose ranges of keys, statistics and Bloom filters let it be there."""
+    return _filled(spark, sf_dir, Leveled(1000, 2, 2000, 3, 2)).get_key(42)
+
+
+@query(f"SELECT (SELECT count(*) FROM ({_VIEW}) v) AS len, (SELECT count(*) FROM {_IN_PART} p WHERE NOT dead) AS len_hint, CAST(0 AS BIGINT) AS after_clear")
+def lsm_store_counts(spark, sf_dir):
+    """The store's own counts: exact, the bound from its manifest, and after a clear."""
+    store = _filled(spark, sf_dir, _LOOSE)
+    n, hint = store.len(), store.len_hint()
+    store.clear()
+    return spark.createDataFrame([(n, hint, store.len())], "len long, len_hint long, after_clear long")
+
+
+@query(_VIEW)
+def lsm_store_scan(spark, sf_dir):
+    """The live view in key order of a store with batches that it still holds."""
+    store = _store(spark, _LOOSE)
+    for part in _batches(spark, sf_dir):
+        store.insert(part.where("not is_tombstone"))
+        store.remove(part.where("is_tombstone"))
+    return store.scan()
+
+
+@query("SELECT 'all' AS held, CAST(0 AS BIGINT) AS runs, CAST(count(*) AS BIGINT) AS hint FROM orders UNION ALL SELECT 'none', 8, count(*) FROM orders")
+def lsm_memtable(spark, sf_dir):
+    """Eight batches below and above the bytes that a store holds: no run, or one for each."""
+    rows = []
+    for held, most in (("all", 1 << 50), ("none", 0)):
+        store = _store(spark, SizeTiered(most, 100, 1 << 40, 0.5, 1.5))
+        for i in range(8):
+            store.insert(orders(spark, sf_dir).df.where(F.col("key") % 8 == i))
+        rows.append((held, len(store.manifest.runs), store.len_hint()))
+    return spark.createDataFrame(rows, "held string, runs long, hint long")
+
+
+@query(_VIEW)
+def lsm_concurrent_compaction(spark, sf_dir):
+    """A merge that commits after others have added runs: theirs stay."""
+    a = _store(spark, _LOOSE)
+    first, rest = _batches(spark, sf_dir)[:5], _batches(spark, sf_dir)[5:]
+    for part in first:
+        a.append_run(part)
+    job = SizeTiered(0, 4, 1 << 40, 0.5, 1.5).next_job(a.manifest.runs)
+    b = LogStore.open(spark, a.files.root)
+    for part in rest:
+        b.append_run(part)
+    a._run(job)
+    return LogStore.open(spark, a.files.root).view()
+
+
+@query(f"SELECT CAST(8 AS BIGINT) AS deleted, CAST(1 AS BIGINT) AS runs, count(*) AS len FROM ({_VIEW}) v")
+def lsm_garbage(spark, sf_dir):
+    """Eight runs merged into one; then the folders of the eight are garbage."""
+    store = _filled(spark, sf_dir, SizeTiered(0, 7, 1 << 40, 0.5, 1.5))
+    return spark.createDataFrame([(store.collect_garbage(), len(store.manifest.runs), store.len())], "deleted long, runs long, len long")
+
+
+@query(f"SELECT user_id AS key, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {_PART} p WHERE part < 4) e WHERE k = 1 AND NOT {_DEAD}")
+def lsm_reader_pin(spark, sf_dir):
+    """A view taken after four batches, read after the rest came, was merged and garbage was collected."""
+    store, parts_ = _store(spark, SizeTiered(0, 7, 1 << 40, 0.5, 1.5)), _batches(spark, sf_dir)
+    for part in parts_[:4]:
+        store.append_run(part)
+    seen = store.view()
+    for part in parts_[4:]:
+        store.append_run(part)
+    store.compact()
+    store.collect_garbage(keep=[seen])
+    return seen
+
+
+def _summaries(df: DataFrame) -> list[Run]:
+    return [Run(str(i), *r[1:], level=0) for i, r in enumerate(df.orderBy("lt_min").collect())]
+
+
+_KEY_RUN = f"(SELECT user_id // 8 AS run, count(*) AS entry_count, count(*) FILTER (WHERE dead) AS tombstone_count, max(user_id) AS key_max FROM (SELECT user_id, arg_max({_DEAD}, event_id) AS dead FROM events GROUP BY 1) k GROUP BY 1)"
+
+
+@query(f"SELECT key_max, entry_count, tombstone_count FROM (SELECT *, row_number() OVER (ORDER BY tombstone_count / entry_count DESC, key_max DESC) AS k, count(*) OVER () AS n FROM {_KEY_RUN} r) x WHERE k <= n - 3")
+def leveled_evicted(spark, sf_dir):
+    """Of a level with room for three runs, those with the greatest share of tombstones."""
+    best = F.max_by(F.struct("value", "is_tombstone", "logical_time"), "logical_time").alias("v")
+    newest = _log(spark, sf_dir).groupBy("key").agg(best).select("key", "v.*", F.floor(F.col("key") / 8).alias("run"))
+    out = Leveled(0, 1, 1, 3, 2).evicted(_summaries(run_summary(newest, ["run"])), 0)
+    return spark.createDataFrame([(r.key_max, r.entry_count, r.tombstone_count) for r in out], "key_max long, entry_count long, tombstone_count long")
+
+
+_SIZED = f"(SELECT row_number() OVER (ORDER BY size, lt_min) AS place, size, lt_min FROM (SELECT CAST(sum(CASE WHEN dead THEN 17 ELSE 25 END) AS BIGINT) AS size, min(lt) AS lt_min FROM {_IN_RUN} r GROUP BY run) s)"
+
+
+@query(f"SELECT place, size, lt_min FROM {_SIZED} o")
+def size_tiered_order(spark, sf_dir):
+    """Runs by size."""
+    order = SizeTiered(0, 4, 0, 0.5, 1.5).order(tuple(_summaries(run_summary(_runs(spark, sf_dir), ["run"]))))
+    return spark.createDataFrame([(i, r.size, r.lt_min) for i, r in enumerate(order, 1)], "place long, size long, lt_min long")
+
+
+@query(
+    f"WITH RECURSIVE o AS {_SIZED}, w(place, n, total, first, broke) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS BIGINT), false"
+    " UNION ALL SELECT place, CASE WHEN fits OR n > 4 THEN n ELSE 0 END, CASE WHEN fits OR n > 4 THEN total ELSE 0 END, first, NOT fits AND n > 4 FROM ("
+    "SELECT *, 2 * total <= 4 * first * n AND 2 * size * n <= 3 * total AS fits FROM (SELECT o.place, o.size, w.n + 1 AS n, w.total + o.size AS total, CASE WHEN w.n = 0 THEN o.size ELSE w.first END AS first FROM w JOIN o ON o.place = w.place + 1 WHERE NOT w.broke) a) b),"
+    " found AS (SELECT place, n FROM w WHERE place = (SELECT max(place) FROM w) AND n > 4) SELECT o.place, o.size, o.lt_min FROM o JOIN found f ON o.place > f.place - f.n AND o.place <= f.place"
+)
+def size_tiered_bucket(spark, sf_dir):
+    """The runs that the next merge takes, with running averages in play."""
+    s = SizeTiered(0, 4, 0, 0.5, 1.5)
+    runs = tuple(_summaries(run_summary(_runs(spark, sf_dir), ["run"])))
+    place = {r.path: i for i, r in enumerate(s.order(runs), 1)}
+    return spark.createDataFrame([(place[r.path], r.size, r.lt_min) for r in s.bucket(runs)], "place long, size long, lt_min long")
+
+
 # sorted store
 
 
+@query("SELECT p_partkey AS key, p_name AS value FROM part WHERE strlen(p_name) + 8 <= 24")
+def sorted_store_sizes(spark, sf_dir):
+    """Values of up to 24 bytes, 8 of them for the length; the store would refuse longer ones."""
+    store = SortedStore.create(spark, scratch(spark, "sorted"), "long", "string", 8, 24, rows=4096)
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
+    store.insert(rows.where(fixed_size(rows.schema["value"].dataType, F.col("value")) <= 24))
+    return store.scan()
+
+
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS value FROM orders")
 def sorted_store_upsert(spark, sf_dir):
     path = scratch(spark, "sorted")
@@ -425,6 +584,31 @@ def radix_scan(spark, sf_dir):
     return _radix(spark, sf_dir).ranked().withColumn("key", F.decode("key", "UTF-8"))
 
 
+def _text(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.decode("key", "UTF-8"))
+
+
+_EVEN = "c_custkey % 2 = 0"
+
+
+@query(f"SELECT c_name AS key, CASE WHEN {_EVEN} THEN -c_custkey ELSE c_custkey END AS value FROM customer")
+def radix_insert(spark, sf_dir):
+    m = _radix(spark, sf_dir)
+    return _text(m.insert(m.df.where("value % 2 = 0").withColumn("value", -F.col("value")))[0].df)
+
+
+@query(f"SELECT c_name AS key, c_custkey AS value FROM customer WHERE NOT {_EVEN}")
+def radix_remove(spark, sf_dir):
+    m = _radix(spark, sf_dir)
+    return _text(m.remove(m.df.where("value % 2 = 0").select("key"))[0].df)
+
+
+@query("SELECT q.key, c_custkey AS value, c_custkey IS NOT NULL AS found FROM (SELECT c_name AS key FROM customer UNION ALL SELECT c_name || '!' FROM customer) q LEFT JOIN customer ON c_name = q.key")
+def radix_get(spark, sf_dir):
+    m = _radix(spark, sf_dir)
+    return _text(m.get(m.keys().union(m.df.select(F.encode(F.concat(F.decode("key", "UTF-8"), F.lit("!")), "UTF-8")))))
+
+
 # lists: conversations by turn
 
 
@@ -502,6 +686,13 @@ def list_split_right(spark, sf_dir):
     return _lists(spark, sf_dir).split(_each(spark, sf_dir, index=2))[1].df
 
 
+@query("SELECT user_id AS list_id, CAST(coalesce(sum(event_id % 5 + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, event_type AS value FROM events")
+def list_from_distances(spark, sf_dir):
+    """Positions as prefix sums of the distances to the next element."""
+    e = read(spark, sf_dir, "events").withColumn("distance", F.col("event_id") % 5 + 1)
+    return ListTable.from_distances(e, "user_id", ["event_id"], "distance", "event_type").df
+
+
 @query("SELECT conv_id AS list_id, count(*) AS len FROM conversations GROUP BY conv_id")
 def list_len(spark, sf_dir):
     return _lists(spark, sf_dir).len()
@@ -523,6 +714,38 @@ def arena_replay_allocations(spark, sf_dir):
     return arena_replay(log, chunk_size=4)
 
 
+# of seven events in a row: two allocations, both freed, two more that take the freed slots (the last freed first), a read of one
+_SEVEN = "(SELECT user_id AS arena_id, event_id AS seq, event_id AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)"
+_SLOTS = (
+    f"(SELECT *, i % 7 AS step, 2 * (i // 7) + CASE WHEN i % 7 IN (0, 2, 5, 6) THEN 0 ELSE 1 END AS slot, lag(v, 1) OVER w AS v1, lag(v, 2) OVER w AS v2 FROM {_SEVEN} s WINDOW w AS (PARTITION BY arena_id ORDER BY seq))"
+)
+
+
+@query(
+    f"SELECT arena_id, seq, CASE WHEN step IN (2, 3) THEN 'free' WHEN step = 6 THEN 'get' ELSE 'allocate' END AS op, slot // 4 AS chunk_index, slot % 4 AS block_index,"
+    f" CASE WHEN step IN (2, 3) THEN v2 WHEN step = 6 THEN v1 END AS result, true AS found FROM {_SLOTS} x"
+)
+def arena_replay_reuse(spark, sf_dir):
+    """Allocations, frees and reads by turns: freed slots are taken again, the last one first."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", n.alias("i")).withColumn("step", F.col("i") % 7)
+    at = 2 * F.floor(F.col("i") / 7) + F.col("step").isin(1, 3, 4).cast("long")
+    given = F.col("step").isin(2, 3, 6)
+    op = F.when(F.col("step").isin(2, 3), "free").when(F.col("step") == 6, "get").otherwise("allocate")
+    log = e.select(F.col("user_id").alias("arena_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_id").alias("value"), F.when(given, F.floor(at / 4)).cast("long").alias("chunk_index"), F.when(given, at % 4).cast("long").alias("block_index"))
+    return arena_replay(log, chunk_size=4)
+
+
+@query(f"SELECT p.arena_id, c AS chunk_index, CAST(1 AS BIGINT) AS block_index, v AS value, v IS NOT NULL AS found FROM (SELECT DISTINCT user_id AS arena_id, unnest([0, 1000000]) AS c FROM events) p LEFT JOIN {_SEVEN} s ON s.arena_id = p.arena_id AND s.i = 4 * c + 1")
+def arena_get_slots(spark, sf_dir):
+    """Reads of an occupied and of a vacant slot of each user's arena."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    held = read(spark, sf_dir, "events").select(F.col("user_id").alias("arena_id"), F.col("event_id").alias("value"), n.alias("i"))
+    chunks = F.explode(F.array(F.lit(0), F.lit(1_000_000))).cast("long").alias("chunk_index")
+    probes = held.select("arena_id").distinct().select("arena_id", chunks, F.lit(1).cast("long").alias("block_index"))
+    return arena_get(arena_append_slots(held, "i", 4), probes, ["arena_id"])
+
+
 def _stacks(spark, sf_dir) -> DataFrame:
     op = F.when(F.col("event_type").isin("click", "error"), "pop").otherwise("push")
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("stack_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_id").alias("value"))

@@ -22,6 +22,7 @@ from ..plans.manifest import Files, Manifest, Run
 from ..plans.strategies import CompactionStrategy, MergeJob, strategy_from
 
 LOG = ["key", "value", "is_tombstone", "logical_time"]
+BLOOM_FPP = 0.05  # false positives of a run's Bloom filter
 
 
 def latest_versions(log: DataFrame) -> DataFrame:
@@ -98,23 +99,39 @@ class LogStore:
         self._take(k.select("key", F.lit(None).cast(self.schema["value"].dataType).alias("value"), F.lit(True).alias("is_tombstone"), F.lit(self._clock).alias("logical_time")))
 
     def flush(self) -> None:
-        """Writes what is held as a run, then compacts as far as the strategy asks."""
-        if self._held:
-            log = latest_versions(reduce(DataFrame.union, self._held))
-            self._commit([*self.manifest.runs, *self._write(log, -1, None)])
-            self._held, self._held_bytes, self._held_rows = [], 0, 0
+        """Writes what is held as a run, then compacts as far as the strategy asks. Where others committed meanwhile, what is held is
+        newer than theirs: it is stamped and written again."""
+        while self._held:
+            made = self._write(latest_versions(reduce(DataFrame.union, self._held)), -1, None)
+            if self._append(made):
+                self._held, self._held_bytes, self._held_rows = [], 0, 0
         self.compact()
 
+    def _append(self, made: list[Run], **kw) -> bool:
+        """Commits runs beside those there are. If someone committed meanwhile: takes up their manifest, moves what is held behind
+        its clock, deletes the runs and gives False."""
+        try:
+            self._commit([*self.manifest.runs, *made], **kw)
+            return True
+        except FileExistsError:
+            before, self.manifest = self.manifest.logical_time, Manifest.load(self.files)
+            later = self.manifest.logical_time - before
+            self._held = [df.withColumn("logical_time", F.col("logical_time") + F.lit(later).cast("long")) for df in self._held]
+            self._clock += later
+            for folder in {self._folder(r.path) for r in made}:
+                self.files.delete(self.files.at(f"runs/{folder}"))
+            return False
+
     def append_run(self, log: DataFrame, stream: str | None = None, batch_id: int | None = None) -> bool:
         """Writes a log (key, value, is_tombstone) as a run of its own, with the next tick. A batch of a stream that the
         manifest has already counts once: then nothing is written and False comes back."""
-        if stream is not None and self.manifest.applied.get(stream, -1) >= batch_id:
-            return False
-        stamped = log.select("key", "value", "is_tombstone", F.lit(self._clock).cast("long").alias("logical_time")).where("key is not null")
         self._clock += 1
-        applied = {**self.manifest.applied, **({stream: batch_id} if stream is not None else {})}
-        self._commit([*self.manifest.runs, *self._write(stamped, -1, None)], applied=applied)
-        return True
+        while stream is None or self.manifest.applied.get(stream, -1) < batch_id:
+            stamped = log.select("key", "value", "is_tombstone", F.lit(self._clock - 1).cast("long").alias("logical_time")).where("key is not null")
+            applied = {**self.manifest.applied, **({stream: batch_id} if stream is not None else {})}
+            if self._append(self._write(stamped, -1, None), applied=applied):
+                return True
+        return False
 
     def clear(self) -> None:
         """No rows; the logical clock goes on."""
@@ -124,20 +141,18 @@ class LogStore:
     def _commit(self, runs: list[Run], **kw) -> None:
         self.manifest = self.manifest.with_runs(runs, logical_time=self._clock, **kw).commit(self.files)
 
-    def _write(self, log: DataFrame, level: int, max_size: int | None) -> list[Run]:
-        """Sorted runs of a log with unique keys; cut by ranges of keys where max_size asks for several."""
+    def _write(self, log: DataFrame, level: int, pieces: int | None) -> list[Run]:
+        """Sorted runs of a log with unique keys: so many ranges of keys of about the same size, each a file; without `pieces` one
+        run, a folder of as many files as its bytes ask for."""
         path = self.files.at(f"runs/{uuid.uuid4().hex}")
-        pieces = 1
-        if max_size is not None:
-            total = log.agg(F.coalesce(F.sum(entry_size(log)), F.lit(0))).head()[0]
-            pieces = max(1, math.ceil(total / max_size))
-        bounds = range_bounds(log.select(F.col("key").alias("_p")), "_p", pieces) if pieces > 1 else []
-        placed = log.withColumn("piece", range_of(bounds, F.col("key"), self.schema["key"].dataType))
-        placed.orderBy("piece", "key").write.option("parquet.bloom.filter.enabled#key", "true").partitionBy("piece").parquet(path)
-        if not any(n.startswith("piece=") for n in self.files.names(path)):
-            return []
-        back = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("piece", T.IntegerType())])).parquet(path)
-        return [Run(f"{path}/piece={r.piece}", r.entry_count, r.tombstone_count, r["size"], r.key_min, r.key_max, r.lt_min, r.lt_max, level) for r in run_summary(back, ["piece"]).orderBy("piece").collect()]
+        placed = log.orderBy("key") if pieces is None else log.repartitionByRange(pieces, "key").sortWithinPartitions("key")
+        placed.write.options(**{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": str(BLOOM_FPP)}).parquet(path)
+        back = self.spark.read.schema(self.schema).parquet(path)
+        if pieces is None:
+            found = [("", r) for r in run_summary(back).where("entry_count > 0").collect()]
+        else:
+            found = [(f"/{r.file}", r) for r in run_summary(back.select("*", F.col("_metadata.file_name").alias("file")), ["file"]).orderBy("key_min").collect()]
+        return [Run(path + file, r.entry_count, r.tombstone_count, r["size"], r.key_min, r.key_max, r.lt_min, r.lt_max, level) for file, r in found]
 
     # reads
 
@@ -215,7 +230,8 @@ class LogStore:
             made = [Run(**{**r.__dict__, "level": job.level}) for r in job.inputs]
         else:
             log = latest_versions(self._read(job.inputs))
-            made = self._write(log.where(~F.col("is_tombstone")) if job.drop_tombstones else log, job.level, job.max_size)
+            pieces = None if job.max_size is None else max(1, math.ceil(sum(r.size for r in job.inputs) / job.max_size))
+            made = self._write(log.where(~F.col("is_tombstone")) if job.drop_tombstones else log, job.level, pieces)
         while True:
             try:
                 return self._commit([*(r for r in self.manifest.runs if r.path not in gone), *made])
@@ -225,12 +241,22 @@ class LogStore:
                 if not gone <= {r.path for r in self.manifest.runs}:
                     return None
 
-    def collect_garbage(self, keep: list[DataFrame] | None = None) -> int:
-        """Deletes run files that the manifest doesn't list and no table in `keep` reads; the number of folders deleted."""
-        used = {r.path.rpartition("/")[0].rpartition("/")[2] for r in self.manifest.runs}
-        for df in keep or []:
-            used |= {f.partition("/runs/")[2].partition("/")[0] for f in df.inputFiles()}
-        gone = [n for n in self.files.names(self.files.at("runs")) if n not in used]
+    def _folder(self, path: str) -> str:
+        """The folder below runs/ that a run or one of its files lies in."""
+        return path.rpartition("/runs/")[2].partition("/")[0]
+
+    def collect_garbage(self, keep: list[DataFrame] | None = None, grace: float = 86_400, versions: int = 10) -> int:
+        """Deletes runs that an earlier manifest lists, the present one doesn't and no table in `keep` reads; the number of folders
+        deleted. A folder that no manifest lists may be one that a writer is just filling: it goes once it is unchanged for `grace`
+        seconds. Of the manifests, the last `versions` stay; those before them go after their runs."""
+        names = Manifest.versions(self.files)
+        known = {self._folder(r.path) for n in names for r in Manifest.load(self.files, n).runs}
+        used = {self._folder(r.path) for r in Manifest.load(self.files).runs} | {self._folder(r.path) for r in self.manifest.runs}
+        pinned = {self._folder(f) for df in keep or [] for f in df.inputFiles()}
+        there = [n for n in self.files.names(self.files.at("runs")) if n not in used | pinned]
+        gone = [n for n in there if n in known or self.files.age(self.files.at(f"runs/{n}")) > grace]
         for n in gone:
             self.files.delete(self.files.at(f"runs/{n}"))
+        for n in names[:-versions] if not pinned else []:
+            self.files.delete(self.files.at(f"{Manifest.FOLDER}/{n}"))
         return len(gone)

@@ -81,13 +81,13 @@ class SortedStore:
         path = self.files.at(f"runs/{uuid.uuid4().hex}")
         n = rows.count()
         pieces = max(1, -(-n // self.rows))
-        bounds = range_bounds(rows.select(F.col("key").alias("_p")), "_p", pieces) if pieces > 1 else []
-        rows.withColumn("piece", range_of(bounds, F.col("key"), self.schema["key"].dataType)).orderBy("piece", "key").write.option("parquet.page.size", PAGE * 16).partitionBy("piece").parquet(path)
+        placed = rows.repartitionByRange(pieces, "key").sortWithinPartitions("key")
+        placed.write.option("parquet.page.size", PAGE * 16).parquet(path)
         made = []
         if n:
-            back = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("piece", T.IntegerType())])).parquet(path)
-            for r in back.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect():
-                made.append(Run(f"{path}/piece={r.piece}", r.n, 0, r.n * (self.key_size + self.value_size), r.a, r.b, 0, 0, 0))
+            back = self.spark.read.schema(self.schema).parquet(path).select("key", F.col("_metadata.file_name").alias("file"))
+            for r in back.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect():
+                made.append(Run(f"{path}/{r.file}", r.n, 0, r.n * (self.key_size + self.value_size), r.a, r.b, 0, 0, 0))
         gone = {r.path for r in old}
         runs = sorted([*(r for r in self.manifest.runs if r.path not in gone), *made], key=lambda r: r.key_min)
         self.manifest = self.manifest.with_runs(runs).commit(self.files)
