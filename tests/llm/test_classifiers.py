@@ -79,6 +79,35 @@ def test_ordinal_recovers_grades():
     assert severity("w1 w2") < severity("w1 bad") < severity("bad bad vile w3") < severity("bad vile bad vile bad")
 
 
+def test_fit_is_the_optimum():
+    """By an objective written down on its own: no change of a weight or threshold makes it less."""
+    rng = np.random.default_rng(0)
+    n, k, strength = 600, 8, 0.05 * 0.2 / np.sqrt(600)
+    x = rng.integers(0, 3, (n, k)) * (rng.random((n, k)) < 0.4)
+    latent = x @ np.array([2.0, -1.5, 1.0, 0.5, 0, 0, 0.8, -0.7]) + rng.logistic(size=n)
+    grade = (latent > 0.5).astype(int) + (latent > 2.5)
+    index = np.concatenate([np.flatnonzero(r) for r in x]).astype(np.int32)
+    value = np.concatenate([r[r > 0] for r in x]).astype(np.float32)
+    m = toxicity.fit_ordinal(np.concatenate([[0], np.cumsum((x > 0).sum(axis=1))]), index, value, grade, 3, penalty=0.2, min_df=1, rounds=3000)
+    idf = np.log(n / (x > 0).sum(axis=0))
+
+    def objective(w, theta):
+        s = (x * idf) @ w
+        cdf = lambda t: 1 / (1 + np.exp(s - t))
+        p = np.stack([cdf(theta[0]), cdf(theta[1]) - cdf(theta[0]), 1 - cdf(theta[1])])[grade, np.arange(n)]
+        return -np.log(p).mean() + strength * np.abs(w).sum()
+
+    w, theta = np.array([m.weights.get(j, 0) / idf[j] for j in range(k)]), np.array(m.thresholds)
+    best = objective(w, theta)
+    assert (w != 0).sum() >= 6 and best < objective(np.zeros(k), theta) - 0.1
+    for step in (0.3, 0.03, 0.003):
+        for change in (step, -step):
+            for j in np.flatnonzero(w):
+                assert objective(w + change * (np.arange(k) == j), theta) > best - 1e-7
+            for j in range(2):
+                assert objective(w, theta + change * (np.arange(2) == j)) > best - 1e-7
+
+
 def test_toxicity_frame(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet").selectExpr("doc_id", "toxic as grade")
     m = toxicity.fit(docs, labels, 2)

@@ -5,34 +5,24 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, shared_root
+
 #: Rows that go to Python at once; with long texts this keeps a batch at a few MB.
 BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; checkpoints go there too.
 
     Only where a session names none (as in tests) a local one is made.
     """
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    root = shared_root(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows in an Arrow batch: few enough that a batch of long texts fits beside the executor's heap."""
+    """Rows in an Arrow batch: few enough that a batch of long texts fits beside the executor's heap. Lazy tables are planned with what
+    the session has when they are read, so the setting stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

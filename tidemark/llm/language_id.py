@@ -28,7 +28,7 @@ def _no_letters() -> str:
     return "".join(map(re.escape, marks))
 
 
-#: Runs of letters (Unicode L*).
+#: Runs of letters (Unicode L*); slow, as the class is long.
 LETTERS = re.compile(rf"[^\W\d_{_no_letters()}]+")
 #: N-grams and words a worker remembers; emptied when full.
 GRAMS, WORDS, HELD_BYTES = 300_000, 200_000, 64_000_000
@@ -39,7 +39,7 @@ class GramCounter:
 
     def __init__(self, n_max: int):
         self.n_max = n_max
-        self.split = LETTERS.findall
+        self.split = re.compile(r"[^\W\d_]+").findall
         self.forget()
 
     def forget(self) -> None:
@@ -69,6 +69,10 @@ class GramCounter:
     def counts(self, text: str) -> np.ndarray | None:
         """Times that each numbered n-gram occurs; None for a text without letters."""
         words = Counter(self.split(text.lower()))
+        for w in [w for w in words if not w.isalpha()]:  # with numerals that are no decimal digits
+            n = words.pop(w)
+            for part in LETTERS.findall(w):
+                words[part] += n
         if not words:
             return None
         known = self.known

@@ -77,6 +77,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, profiles).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+# CRC-32 of the id's digits, one after another; then words, n-grams, profiles, rankings and out-of-place distances
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text, lang FROM documents),
+crc(rid, left_over, h) AS (SELECT rid, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM d WHERE doc_id IS NOT NULL
+  UNION ALL SELECT rid, substr(left_over, 2), list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END, xor(h, CAST(ascii(left_over) AS BIGINT))) FROM crc WHERE left_over <> ''),
+x AS (SELECT d.*, coalesce(xor(h, CAST(4294967295 AS BIGINT)) % 3 = 1, false) AS held FROM d LEFT JOIN (SELECT * FROM crc WHERE left_over = '') c ON c.rid = d.rid),
+w AS MATERIALIZED (SELECT rid, ' ' || word || ' ' AS word, count(*) AS n FROM (SELECT rid, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM x) u GROUP BY ALL),
+g AS MATERIALIZED (SELECT rid, substr(word, i, k) AS gram, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, unnest(range(1, length(word) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS k FROM w) u) v
+  WHERE k > 1 OR substr(word, i, 1) <> ' ' GROUP BY ALL),
+f AS MATERIALIZED (SELECT * FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS place FROM g JOIN x ON x.rid = g.rid WHERE lang IS NOT NULL AND NOT held GROUP BY lang, gram) r WHERE place < 300),
+m AS (SELECT * FROM (SELECT rid, gram, row_number() OVER (PARTITION BY rid ORDER BY n DESC, gram) - 1 AS place FROM g) r WHERE place < 300),
+t AS (SELECT m.rid, l.lang, CAST(sum(CASE WHEN f.place IS NULL THEN 300 ELSE abs(f.place - m.place) END) AS DOUBLE) AS distance, count(*) AS n
+  FROM m CROSS JOIN (SELECT DISTINCT lang FROM f) l LEFT JOIN f ON f.lang = l.lang AND f.gram = m.gram GROUP BY m.rid, l.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY distance, lang) AS k FROM t) r WHERE k = 1)
+SELECT x.doc_id, held AS held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(CAST(1 AS DOUBLE) - distance / CAST(300 * b.n AS DOUBLE), CAST(0 AS DOUBLE)) AS score
+FROM x LEFT JOIN b ON b.rid = x.rid
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, grade, expected_severity, p_toxic, toxic of every document. The labels know two grades, 0 and 1."""
     docs = table(spark, sf_dir, "documents")
@@ -100,10 +119,22 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+# all pairs, and all that is reachable
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = e.vec_id AS kept FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, score, start, end of every passage of a benchmark item in a document."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_preferences, op3_simhash, op4_token_counts, op5_language_id, op6_toxicity, op7_sentencepiece, op8_passages, op9_embeddings, op10_decontamination)}
-ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op2_preferences": OP2_SQL}
+ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op2_preferences": OP2_SQL, "op5_language_id": OP5_SQL, "op9_embeddings": OP9_SQL}
