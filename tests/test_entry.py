@@ -55,5 +55,7 @@ def test_rest_works_without_the_training_data_operators(tmp_path, pipeline):
     code = "import __spark_entry__ as e; assert 'map_upsert' in e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries()); assert set(e.oracle_sql()) == set(e.queries())"
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True)
-    only = ["-k", "test_entry or union or bounds"]
-    subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests", *only, "--deselect", "tests/test_entry.py::test_rest_works_without_the_training_data_operators"], cwd=tmp_path, env=env, check=True)
+    run = [sys.executable, "-B", "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider"]
+    subprocess.run([*run, "--collect-only", "tests"], cwd=tmp_path, env=env, check=True, stdout=subprocess.DEVNULL)
+    if pipeline:
+        subprocess.run([*run, "tests/test_entry.py::test_entry", "tests/test_keyed.py::test_bounds_of_one_hot_key"], cwd=tmp_path, env=env, check=True)

@@ -117,11 +117,11 @@ def test_garbage_leaves_what_is_being_written(spark, tmp_path):
     store.files.mkdirs(filling)
     assert store.collect_garbage() == 0 and store.files.exists(filling)
     assert store.collect_garbage(grace=-1) == 1 and view(store) == {1: 1}
-    for i in range(15):
+    for i in range(6):
         store.insert(kv(spark, {i: i}))
         store.flush()
     store.collect_garbage(versions=3)
-    assert len(Manifest.versions(store.files)) == 3 and view(LogStore.open(spark, store.files.root)) == {i: i for i in range(15)}
+    assert len(Manifest.versions(store.files)) == 3 and view(LogStore.open(spark, store.files.root)) == {i: i for i in range(6)}
 
 
 class Never:

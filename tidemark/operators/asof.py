@@ -41,11 +41,12 @@ def range_of(bounds: list, col: Column, kind) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
-def asof(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key", direction: str = "backward", ranges: int | None = None) -> DataFrame:
+def asof(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key", direction: str = "backward", ranges: int | None = None, bounds: list | None = None) -> DataFrame:
     """All rows of probes with one more column, `found`: the key, null if there is none (or the probe is null). A column of that name
     that probes has is replaced; others may have any names.
 
     keys may repeat (each counts once, before any shuffle); null keys are ignored. direction: backward (greatest key <= probe) or forward (least key >= probe).
+    bounds: of the ranges, where they are known from range_bounds.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)
@@ -54,7 +55,7 @@ def asof(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key",
     k = keys.select(F.col(key).cast(kind).alias("p")).where("p is not null").distinct()
     q = probes.select(F.col(probe).alias("p")).where("p is not null").distinct()
     ranges = ranges or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(keys.select(F.col(key).cast(kind).alias("p")), "p", ranges)
+    bounds = range_bounds(keys.select(F.col(key).cast(kind).alias("p")), "p", ranges) if bounds is None else bounds
     both = k.withColumn("probe", F.lit(False)).union(q.withColumn("probe", F.lit(True))).withColumn("range", range_of(bounds, F.col("p"), kind))
     own = F.when(~F.col("probe"), F.col("p"))
     # at an equal value the key comes first, in either direction

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefixes import common_prefix_length
-from .asof import asof
+from .asof import asof, range_bounds
 
 
 def longest_prefix(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key", mode: str = "documented") -> DataFrame:
@@ -23,8 +23,9 @@ def longest_prefix(probes: DataFrame, keys: DataFrame, probe: str = "q", key: st
         raise ValueError(mode)
     q = probes.select(F.col(probe).cast("binary").alias("q")).where("q is not null").distinct()
     k = keys.select(F.col(key).cast("binary").alias("key")).where("key is not null").distinct()
-    near = asof(q, k, direction="backward").withColumnRenamed("found", "below")
-    near = asof(near, k, direction="forward").withColumnRenamed("found", "above")
+    bounds = range_bounds(k, "key", int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = asof(q, k, direction="backward", bounds=bounds).withColumnRenamed("found", "below")
+    near = asof(near, k, direction="forward", bounds=bounds).withColumnRenamed("found", "above")
     sized = near.where("below is not null or above is not null").withColumn("lcp", F.greatest(common_prefix_length(F.col("q"), F.col("below")), common_prefix_length(F.col("q"), F.col("above"))))
     if mode == "documented":
         sized = sized.where("lcp > 0")
