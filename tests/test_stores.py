@@ -207,8 +207,9 @@ def test_log_functions(spark):
     assert (s.entry_count, s.tombstone_count, s.key_min, s.key_max, s.lt_min, s.lt_max) == (6, 2, 1, 3, 1, 9)
 
 
-@pytest.mark.parametrize("rows", [7, 1000])
-def test_sorted_store(spark, tmp_path, rows):
+@pytest.mark.parametrize("rows,literal", [(7, 1000), (7, 0), (1000, 1000)])
+def test_sorted_store(spark, tmp_path, monkeypatch, rows, literal):
+    monkeypatch.setattr("tidemark.sources.sorted_store.LITERAL_RANGES", literal)
     rnd, model, path = random.Random(2), {}, f"file://{tmp_path}/b"
     store = SortedStore.with_degrees(spark, path, "long", "long", 8, 8, 3, 3, rows=rows)
     assert store.is_empty() and store.min() is None and store.remove(keys(spark, [1])).count() == 0

@@ -741,7 +741,7 @@ def arena_get_slots(spark, sf_dir):
     """Reads of an occupied and of a vacant slot of each user's arena."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     held = read(spark, sf_dir, "events").select(F.col("user_id").alias("arena_id"), F.col("event_id").alias("value"), n.alias("i"))
-    chunks = F.explode(F.array(F.lit(0), F.lit(1_000_000))).cast("long").alias("chunk_index")
+    chunks = F.explode(F.array(F.lit(0).cast("long"), F.lit(1_000_000).cast("long"))).alias("chunk_index")
     probes = held.select("arena_id").distinct().select("arena_id", chunks, F.lit(1).cast("long").alias("block_index"))
     return arena_get(arena_append_slots(held, "i", 4), probes, ["arena_id"])
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import check_key_type, fixed_size
-from ..operators.asof import range_bounds, range_of
 from ..operators.keyed import OrderedMap
 from ..plans.manifest import Files, Manifest, Run
 from ..plans.strategies import CompactionStrategy, MergeJob, strategy_from

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import check_key_type, check_size
-from ..operators.asof import range_bounds, range_of
+from ..operators.asof import asof, range_of
 from ..operators.keyed import OrderedMap
 from ..plans.manifest import Files, Manifest, Run
 
 PAGE = 4096  # bytes of a page
 HEADER = 32
+LITERAL_RANGES = 1000  # that a plan holds as literals
 
 
 def leaf_degree(key_size: int, value_size: int) -> int:
@@ -73,8 +74,14 @@ class SortedStore:
         runs = list(self.manifest.runs)
         if not runs:
             return []
-        at = range_of([r.key_min for r in runs][1:], F.col("key"), self.schema["key"].dataType)
-        return [runs[r[0]] for r in keys.select(at).distinct().orderBy(F.lit(1)).collect()]
+        kind = self.schema["key"].dataType
+        if len(runs) <= LITERAL_RANGES:
+            at = range_of([r.key_min for r in runs][1:], F.col("key"), kind)
+            return [runs[r[0]] for r in keys.select(at).distinct().orderBy(F.lit(1)).collect()]
+        # many ranges are a table: the greatest lower bound of each key, the first range for keys below all
+        bounds = self.spark.createDataFrame([(r.key_min,) for r in runs], T.StructType([T.StructField("key", kind)]))
+        found = {bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in asof(keys.select(F.col("key").alias("q")), bounds).select("found").distinct().collect()}
+        return [r for i, r in enumerate(runs) if r.key_min in found or (i == 0 and None in found)]
 
     def _rewrite(self, old: list[Run], rows: DataFrame) -> None:
         """Replaces ranges by rows, in as many ranges as their number asks for."""
