@@ -25,13 +25,18 @@ def words(rnd, n, size=400):
     return [f"w{int(rnd.paretovariate(0.6)) % size}" for _ in range(n)]
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     """Every item against every text, in full."""
     rnd = random.Random(2)
     items = [(i, words(rnd, rnd.randint(12, 40))) for i in range(25)] + [(90, ["only"]), (91, ["two", "words"]), (92, [])]
     docs = []
-    for i in range(120):
+    for i in range(180):
         w = words(rnd, rnd.randint(0, 120))
+        if i % 3 == 1 and i > 60:  # copies that are edited to near the threshold
+            part = list(rnd.choice(items[:25])[1])
+            for _ in range(len(part) // 3):
+                part[rnd.randrange(len(part))] = "edit"
+            w[len(w) // 2 : len(w) // 2] = part
         if i % 3 == 0:
             part = list(rnd.choice(items[:25])[1])
             for _ in range(rnd.randint(0, len(part) // 5)):
@@ -47,6 +52,10 @@ def test_against_brute_force(spark):
         got[r.doc_id, r.item_id] = max(r.score, got.get((r.doc_id, r.item_id), 0))
         text = dict(docs)[r.doc_id]
         assert 0 <= r.start < r.end <= len(text)
+    in_blocks = sorted(map(str, D.contamination(df, bench).collect()))
+    monkeypatch.setattr(D, "JOIN_WORDS", 0)
+    assert sorted(map(str, D.contamination(df, bench).collect())) == in_blocks and D.contamination(df.limit(0), bench).count() == 0
+    monkeypatch.undo()
     b = D.Block([(i, " ".join(w)) for i, w in items], 3)
     want = {}
     for i, t in docs:
@@ -56,6 +65,8 @@ def test_against_brute_force(spark):
             if s >= 0.5:
                 want[i, k] = s
     assert len(want) > 40 and got.keys() <= want.keys()
+    weak = {k for k, s in want.items() if s < 0.6}
+    assert len(weak) > 20 and len(weak & got.keys()) >= 0.75 * len(weak)  # a third of the words edited: not every item has a whole seed left
     strong = {k for k, s in want.items() if s >= 0.6}
     assert strong <= got.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in strong)
     kept = D.clean(df, bench).collect()

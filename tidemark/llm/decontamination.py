@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they point to.
 
-The test items go to the texts in blocks of bounded size, so a pass over the texts needs no shuffle. A first pass
-counts in how many texts each n-gram of the items occurs. Of every few n-grams in a row, each item keeps the rarest as
+A first pass counts in how many texts each n-gram of the items occurs. Of every few n-grams in a row, each item keeps the rarest as
 a seed: a passage that is common itself still has seeds, and any shared run of n + window - 1 words holds one. A second
-pass looks the seeds up and aligns each item to the text around its hits.
+pass joins the seeds to the texts and aligns each item to the text around its hits.
+
+Items of up to JOIN_WORDS words go to the texts in blocks of bounded size, as the small side of a join in memory: no shuffle. More
+meet the texts in equi-joins by n-gram, after a bitmap of fixed size has sorted out most n-grams of the texts. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -14,13 +16,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from ._common import free_name, small_batches
+from ._common import free_name, small_batches, stored
+from .hashed_words import shingles
 
 #: Words of test items in a block; each block is one pass over the texts.
 BLOCK_WORDS = 200_000
+#: Words of all test items beyond which n-grams join by a shuffle.
+JOIN_WORDS = 5 * BLOCK_WORDS
+#: Bits of the bitmap of the items' n-grams.
+BITMAP = 1 << 24
 #: Alignments a worker remembers, for texts that are copies.
 REMEMBERED = 20_000
 _words = re.compile(r"\w+").findall
@@ -105,7 +113,7 @@ class Block:
 def _blocks(benchmark: DataFrame, text_col: str, id_col: str, n: int) -> Iterator[Block]:
     """Blocks of items, read from the table piece by piece."""
     items, size = [], 0
-    for r in benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col).toLocalIterator():
+    for r in benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col).distinct().toLocalIterator():
         items.append((r[0], r[1]))
         size += len(r[1].split())
         if size >= BLOCK_WORDS:
@@ -149,6 +157,12 @@ def seeds(block: Block, frequency: np.ndarray, window: int) -> dict[int, list[tu
     return out
 
 
+def window_of(place: int, at: int, m: int, n: int) -> tuple[int, int]:
+    """The words of a text of n that an item of m words may cover if its n-gram at `at` stands at `place`."""
+    slack = m // 4 + 2
+    return max(0, place - at - slack), min(n, place - at + m + slack)
+
+
 class Aligner:
     """Finds the items of a block in texts."""
 
@@ -170,9 +184,11 @@ class Aligner:
         spans: dict[int, list[tuple[int, int]]] = {}
         for p, k in zip(places.tolist(), which.tolist()):
             for item, at in self.posts[k]:
-                m = len(self.block.words[item])
-                slack = m // 4 + 2
-                spans.setdefault(item, []).append((max(0, p - at - slack), min(len(w), p - at + m + slack)))
+                spans.setdefault(item, []).append(window_of(p, at, len(self.block.words[item]), len(w)))
+        return self.around(text, w, spans)
+
+    def around(self, text: str, w: np.ndarray, spans: dict[int, list[tuple[int, int]]]) -> list[tuple[int, float, int, int]]:
+        """The passages of items within windows of a text's words."""
         out, edges = [], None
         for item, windows in spans.items():
             merged: list[list[int]] = []
@@ -218,10 +234,14 @@ def annotate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_t
 
     score is the alignment's share of the item's own (match 2, mismatch and gap -1), at least `least`; start and end are
     characters of the text. Words are runs of letters and digits, lower-cased. An item of fewer words than n is one
-    seed; an item without words, or with a null id or text, matches nothing; neither does a null or empty text.
+    seed; an item without words, or with a null id or text, matches nothing; neither does a null or empty text; rows that repeat
+    an item count once.
     Rows of df are never moved; repeated rows repeat; df may have any other columns but `name`.
     """
     small_batches(df.sparkSession)
+    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text"))
+    if (items.agg(F.sum(F.size(F.split("text", r"\s+")))).head()[0] or 0) > JOIN_WORDS:
+        return _joined(df, items, text_col, n, window, least, name)
     out = df.withColumn(name, F.array().cast(HITS))
     for block in _blocks(benchmark, item_text, item_id, n):
         chosen = seeds(block, _frequencies(df.select(F.col(text_col).alias("t")), block), window)
@@ -244,6 +264,79 @@ def _add(df: DataFrame, block: Block, chosen: dict[int, list[tuple[int, int]]],
     return df.mapInArrow(run, df.schema)
 
 
+def gram_keys(found: list[str], n: int) -> np.ndarray:
+    """Hashes of the n-grams of words, which tell their length."""
+    h = np.fromiter((xxh64_intdigest(w) for w in found), np.uint64, len(found))
+    return shingles(h, n).view(np.int64) ^ np.int64(n)
+
+
+def _joined(df: DataFrame, items: DataFrame, text_col: str, n: int, window: int, least: float, name: str) -> DataFrame:
+    """annotate() by equi-joins. A text's hits depend on it alone, so texts are known by their hash and copies are aligned once."""
+    items = items.select(F.xxhash64("item", "text").alias("ik"), "item", "text").distinct()
+    texts = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.zeros((0, 4), np.int64)]
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = _words(lower(t))
+                if found:
+                    k = gram_keys(found, min(n, len(found)))
+                    got.append(np.stack([np.full(len(k), i), k, np.arange(len(k)), np.full(len(k), len(found))], axis=1))
+            c = np.concatenate(got)
+            yield pa.RecordBatch.from_arrays([pa.array(c[:, i]) for i in range(4)], ["ik", "key", "at", "m"])
+
+    grams = stored(items.select("ik", "text").mapInArrow(of_items, "ik long, key long, at long, m long"), "grams")
+    lengths = sorted(r[0] for r in grams.select(F.least("m", F.lit(n)).alias("k")).distinct().collect())  # up to n
+    bits = np.zeros(BITMAP, bool)
+    bits[grams.select(F.pmod("key", F.lit(BITMAP)).cast("int").alias("bit")).distinct().toPandas()["bit"]] = True  # up to BITMAP
+    bits = np.packbits(bits)
+
+    def in_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(bits).astype(bool)
+        for b in batches:
+            got = [np.zeros((0, 4), np.int64)]
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = _words(lower(t))
+                for k in lengths:
+                    keys = gram_keys(found, k)
+                    at = np.flatnonzero(known[keys % BITMAP])
+                    new = np.zeros(len(at), np.int64)
+                    new[np.unique(keys[at], return_index=True)[1]] = 1
+                    got.append(np.stack([np.full(len(at), i), keys[at], at, new], axis=1))
+            c = np.concatenate(got)
+            yield pa.RecordBatch.from_arrays([pa.array(c[:, i]) for i in range(4)], ["text_hash", "key", "place", "new"])
+
+    seen = stored(texts.mapInArrow(in_texts, "text_hash long, key long, place long, new long").join(grams.select("key").distinct(), "key", "left_semi"), "seen")
+    often = seen.groupBy("key").agg(F.sum("new").alias("n"))
+    counted = grams.join(often, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ahead = Window.partitionBy("ik").orderBy("at").rowsBetween(0, window - 1)
+    chosen = counted.withColumns({"pick": F.min(F.struct("n", "at", "key", "m")).over(ahead), "last": F.max("at").over(Window.partitionBy("ik"))})
+    chosen = chosen.where(F.col("at") <= F.greatest(F.col("last") + 1 - window, F.lit(0)))  # whole windows, or the only one
+    seeds_ = chosen.select("ik", "pick.key", F.col("pick.at").alias("at"), "pick.m").distinct()
+    met = seen.join(seeds_, "key").select("text_hash", "ik", "place", "at", "m").distinct().groupBy("text_hash", "ik").agg(F.collect_list(F.struct("place", "at", "m")).alias("places"))
+    whole = met.join(texts.dropDuplicates(["text_hash"]), "text_hash").join(items.withColumnRenamed("text", "item_text"), "ik")
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finders: dict[tuple, Aligner] = {}
+        for b in batches:
+            keys, got = [], []
+            for key, item, places, text, item_text in zip(*(c.to_pylist() for c in b.columns)):
+                if len(finders) > 1000:
+                    finders.clear()
+                find = finders.get((item, item_text)) or finders.setdefault((item, item_text), Aligner(Block([(item, item_text)], n), {}, least))
+                w = find.block.read(text)
+                for i, score, s, e in find.around(text, w, {0: [window_of(x["place"], x["at"], x["m"], len(w)) for x in places]}):
+                    keys.append(key)
+                    got.append({"item_id": i, "score": score, "start": s, "end": e})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(got, _HITS.value_type)], ["text_hash", "hit"])
+
+    hits = whole.select("text_hash", "item", "places", "text", "item_text").mapInArrow(aligned, f"text_hash long, hit {HITS[6:-1]}")
+    hits = hits.groupBy("text_hash").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).alias("text_hash"))
+    return rows.join(hits, "text_hash", "left").select(*[F.col("row")[c].alias(c) for c in df.columns], F.coalesce("hits", F.array().cast(HITS)).alias(name))
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row for each passage found: the id, item_id, score, start, end. Rows of df without a passage give none."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
