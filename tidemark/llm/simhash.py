@@ -366,20 +366,31 @@ def _blocks_of(b: pa.RecordBatch, blocks: int) -> np.ndarray:
     return np.stack([np.concatenate([_bits(np.ascontiguousarray(fp[:, 2 * i + j])) for j in range(2)], axis=1) for i in range(blocks)])
 
 
-def _sums(df: DataFrame, cells: int, add) -> np.ndarray:
-    """Sums over all rows of what add(batch) gives, an array of `cells` numbers: added up in each task, then by cell."""
+def _sums(df: DataFrame, rows: int, width: int, add) -> np.ndarray:
+    """Sums over all rows of df of what add(batch) gives, an array (rows, width): added up in each task, whose rows then meet packed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells)
+    def packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["row", "sums"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rows, width))
         for b in batches:
             if b.num_rows:
                 total += add(b)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["cell", "n"])
+        yield packed(dict(enumerate(total)))
 
-    got = df.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(cells)
-    out[got["cell"]] = got["n"]
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(x, "<i8")
+                sums[i] = sums[i] + x if i in sums else x
+        yield packed(sums)
+
+    out = np.zeros((rows, width))
+    got = df.mapInArrow(each, "row int, sums binary").repartition("row").mapInArrow(together, "row int, sums binary").toArrow()
+    for i, x in zip(got["row"].to_pylist(), got["sums"].to_pylist()):
+        out[i] = np.frombuffer(x, "<i8")
     return out
 
 
@@ -389,13 +400,16 @@ def _partitions(classes: DataFrame, shape: Shape) -> tuple[list[tuple[int, list[
     blocks, width = shape.blocks, shape.width
     n = max(1, classes.count())
 
+    upper = np.triu_indices(128)
+
     def pairs_of_bits(b: pa.RecordBatch) -> np.ndarray:
         x = _blocks_of(b, blocks).astype(np.float32)
-        return (x.transpose(0, 2, 1) @ x).astype(float).ravel()
+        return (x.transpose(0, 2, 1) @ x)[:, upper[0], upper[1]]
 
-    both = _sums(classes.select("fp"), blocks * 128 * 128, pairs_of_bits).reshape(blocks, 128, 128) / n
     parts = []
-    for i, pair in enumerate(both):
+    for i, half in enumerate(_sums(classes.select("fp"), blocks, len(upper[0]), pairs_of_bits) / n):
+        pair = np.zeros((128, 128))
+        pair[upper] = pair.T[upper] = half
         p = np.diag(pair)
         sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
         parts += [(i, g) for g in correlated_groups((pair - np.outer(p, p)) / np.outer(sd, sd), [width] * shape.per_block)]
@@ -403,9 +417,9 @@ def _partitions(classes: DataFrame, shape: Shape) -> tuple[list[tuple[int, list[
     def cells_of(b: pa.RecordBatch) -> np.ndarray:
         bits = _blocks_of(b, blocks).astype(np.float32)
         powers = (1 << np.arange(FEW_BITS)).astype(np.float32)
-        return np.concatenate([np.bincount((bits[i][:, g[:FEW_BITS]] @ powers[: len(g)]).astype(np.int64), minlength=1 << FEW_BITS) for i, g in parts])
+        return np.stack([np.bincount((bits[i][:, g[:FEW_BITS]] @ powers[: len(g)]).astype(np.int64), minlength=1 << FEW_BITS) for i, g in parts])
 
-    cells = _sums(classes.select("fp"), len(parts) << FEW_BITS, cells_of).reshape(len(parts), -1)
+    cells = _sums(classes.select("fp"), len(parts), 1 << FEW_BITS, cells_of)
     alike = (cells * cells).sum(axis=1) / n / 2.0 ** (width - FEW_BITS)  # candidates of a fingerprint, were the other bits even
     cost = np.stack([1 + alike, width * (1 + 2 * alike)], axis=1)
     gain = np.tile([-math.log1p(-caught(width, t, shape.differs)) for t in (0, 1)], (len(parts), 1))
