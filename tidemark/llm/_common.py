@@ -45,6 +45,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Ids that are broadcast to pick rows before they are shuffled.
+IDS = 1_000_000
+
+
+def only_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df with one of the ids (a column id in both); picked before they move where the ids are few."""
+    ids = ids.distinct()
+    return df.join(F.broadcast(ids), "id", "left_semi") if ids.limit(IDS + 1).count() <= IDS else df.join(ids, "id", "left_semi")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a longer one that df has no column of."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._common import cut, small_batches, stored
+from ._common import cut, only_ids, small_batches, stored
 from .components import components
 from .hashed_words import mix, shingles, words
 
@@ -497,7 +497,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int,
     """Those of the pairs (a, b) whose sets have that Jaccard similarity, by the sets themselves."""
     pairs = stored(_may_be_alike(pairs, classes, similarity), "pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = classes.join(met, "node", "left_semi").select("node", "sig", F.col("cid").alias("id")).join(texts, "id").select("node", "sig", "text")
+    wanted = stored(classes.select("node", "sig", F.col("cid").alias("id")).join(met, "node", "left_semi"), "wanted")
+    rows = wanted.join(only_ids(texts, wanted.select("id")), "id").select("node", "sig", "text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
