@@ -176,3 +176,15 @@ def test_similar_in_a_source_of_shared_boilerplate(spark):
     assert 0.7 < jaccard(text[1], text[3]) < 0.8 < jaccard(text[1], text[2])
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, **{2 * i + j: 2 * i + 1 for i in range(150) for j in (1, 2)}}
+
+
+def test_few_links_in_one_task(spark):
+    """The same components as by the steps over tables: rows and rings, stars, copies, links of a node to itself."""
+    rnd = random.Random(31)
+    pairs = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000 + (i + 1) % 90) for i in range(90)] + [(2000, 2001 + i) for i in range(300)]
+    pairs += [(rnd.randint(3000, 4000), rnd.randint(3000, 4000)) for _ in range(700)] + [(5000, 5000), (5001, 5001)]
+    rnd.shuffle(pairs)
+    df = spark.createDataFrame([*pairs, *pairs[:50]], "a long, b long")
+    got, want = (sorted(map(tuple, components(df, at_once=n).collect())) for n in (10_000, 0))
+    assert got == want and len(got) > 1000
+    assert components(df.limit(0), at_once=10).count() == 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._common import cut, only_ids, small_batches, stored
+from ._common import cut, free_shuffles, only_ids, small_batches, stored
 from .components import components
 from .hashed_words import mix, shingles, words
 
@@ -41,6 +41,7 @@ CHOICE = 1.15  # fingerprint bits for each that thresholds of 0 would need
 STEPS = 10_000  # of the chance of a miss, in the dynamic program
 FEW_BITS = 10  # of a partition's value, for the estimate of its candidates
 SEEN = 20_000
+AT_ONCE = 1_000_000  # links of alike sets whose components one task finds
 BUCKET = 32  # distinct fingerprints in a bucket beyond which it is linked through balls
 
 
@@ -565,15 +566,17 @@ def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shing
     named = sets.where("id is not null").groupBy("sig").agg(F.min("id").alias("cid"))
     sketches = sets.where("fp is not null and n > 0").select("sig", "n", "fp", "small").dropDuplicates(["sig"])
     classes = stored(sketches.join(named, "sig").withColumn("node", F.monotonically_increasing_id()), "classes")
+    free_shuffles(spark)
 
     parts, chosen = _partitions(classes, shape)
     entries = _entries(classes, parts, chosen, shape)
     shared = stored(entries.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"), "buckets")
+    free_shuffles(spark)
     crowd = shared.where(F.col("size") > FEW)
     centre = crowd.groupBy("key").agg(F.min("node").alias("a"))
     first = crowd.join(centre, "key").where("node <> a").groupBy("node").agg(F.max_by("a", F.struct("size", "a")).alias("a")).select("a", F.col("node").alias("b"))
     found = _alike(first, classes, texts, shingle, similarity)
-    root, turn, crowd = cut(components(found)), 0, shared
+    root, turn, crowd = cut(components(found, at_once=AT_ONCE)), 0, shared
     while True:
         known = crowd.select("key", "node", "size").join(root.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
@@ -586,7 +589,8 @@ def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shing
         if not last:
             pairs = pairs.union(_stars(open_, turn)).distinct()
         found = found.union(_alike(pairs, classes, texts, shingle, similarity))
-        root = cut(components(found))
+        root = cut(components(found, at_once=AT_ONCE))
+        free_shuffles(spark)
         if last:
             break
         crowd = open_
