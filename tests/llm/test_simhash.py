@@ -1,9 +1,12 @@
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
 
 from tidemark.llm import simhash
+from tidemark.llm._common import scratch
 from tidemark.llm.components import components
 
 
@@ -178,6 +181,64 @@ def test_similar_in_a_source_of_shared_boilerplate(spark):
     assert got == {0: 0, **{2 * i + j: 2 * i + 1 for i in range(150) for j in (1, 2)}}
 
 
+def test_prefixes_against_brute_force():
+    """Sets as alike as that meet in a key whose places leave enough of both."""
+    rng, alike, apart = np.random.default_rng(12), 0, 0
+    for similarity in (0.8, 0.5, 1.0):
+        for _ in range(1500):
+            a = rng.choice(1 << 20, rng.integers(1, 120), replace=False).astype(np.uint32)
+            b = np.concatenate([rng.permutation(a)[rng.integers(0, len(a) // 3 + 1) :], rng.choice(1 << 20, rng.integers(0, len(a) // 4 + 1)).astype(np.uint32)])
+            x, y = sorted((np.unique(a), np.unique(b)), key=len)
+            same = len(np.intersect1d(x, y))
+            need = (len(x) + len(y)) * similarity / (1 + similarity) - 1e-6
+            (kx, px, lx), (ky, py, ly) = (simhash.prefix_keys(s, similarity) for s in (x, y))
+            short, long = dict(zip(kx[~lx], px[~lx])), dict(zip(ky[ly], py[ly]))
+            met = any(k in long and len(x) - p >= need and len(y) - long[k] >= need for k, p in short.items())
+            if same >= similarity * (len(x) + len(y) - same) - 1e-9:
+                alike += 1
+                assert met
+            else:
+                apart += not met
+    assert alike > 500 and apart > 500
+
+
+def test_pairs_of_a_crowd(spark):
+    """Copies of one text with so many edits that most are unlike: all pairs that are alike, and few of the others."""
+    rnd = random.Random(13)
+    base = rnd.choices([f"w{i}" for i in range(3000)], k=150)
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rnd.choice([2, 8, 9, 10, 11])):
+            w[rnd.randrange(150)] = f"x{rnd.randrange(10**9)}"
+        if i % 6 == 5:  # hardly edited once more
+            w = texts[-1].split()
+            w[rnd.randrange(150)] = f"y{i}"
+        texts.append(" ".join(w))
+    signed = lambda t: int(np.array([xxhash.xxh64_intdigest(simhash.shingle_set(t, 5).tobytes(), 7)], np.uint64).view(np.int64)[0])
+    classes = spark.createDataFrame([(i, signed(t), i) for i, t in enumerate(texts)], "node long, sig long, cid long")
+    crowd = spark.createDataFrame([(k, i, 400, i) for i in range(400) for k in (1, 2)], "key long, node long, size long, root long")
+    got = {(r.a, r.b) for r in simhash._prefix_pairs(crowd, classes, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5, 0.8).collect()}
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    alike = {(i, j) for j in range(400) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(alike) > 60 and alike <= got and len(got) < 8 * len(alike) < 400 * 399 // 8
+
+
+def left_behind(spark):
+    """The tables in the shared folder by the name they were stored under."""
+    base = scratch(spark, "none").removeprefix("file://").rpartition("/")[0]
+    return Counter(x.rpartition("-")[0] for x in os.listdir(base))
+
+
+def test_tables_of_similar_go(spark):
+    """What other stages of a pipeline would have to find room beside is one narrow table."""
+    df = spark.createDataFrame([(i, " ".join(f"w{i // 2 + j}" for j in range(50))) for i in range(40)], "doc_id long, text string")
+    before = left_behind(spark)
+    got = simhash.similar(df)
+    assert left_behind(spark) - before == {"components": 1}
+    assert got.count() == 40
+
+
 def test_few_links_in_one_task(spark):
     """The same components as by the steps over tables: rows and rings, stars, copies, links of a node to itself."""
     rnd = random.Random(31)

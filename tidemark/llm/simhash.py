@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._common import cut, free_shuffles, only_ids, small_batches, stored
+from ._common import cut, free_shuffles, only_ids, passing, small_batches, stored
 from .components import components
 from .hashed_words import mix, shingles, words
 
@@ -41,6 +41,9 @@ CHOICE = 1.15  # fingerprint bits for each that thresholds of 0 would need
 STEPS = 10_000  # of the chance of a miss, in the dynamic program
 FEW_BITS = 10  # of a partition's value, for the estimate of its candidates
 SEEN = 20_000
+LEVEL = 1.05  # sizes of sets of one level differ by less than this factor
+CELLS = 64, 1 << 14  # in which the hashes of crowded sets are counted
+ROWS_OUT = 1 << 18  # of prefixes, in a batch
 AT_ONCE = 1_000_000  # links of alike sets whose components one task finds
 BUCKET = 32  # distinct fingerprints in a bucket beyond which it is linked through balls
 
@@ -494,21 +497,25 @@ def _may_be_alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> Da
     return pairs.join(x, "a").join(y, "b").where((least >= similarity * greatest - 1e-9) & ((apart <= most) | (greatest <= SMALL / similarity))).select("a", "b")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have that Jaccard similarity, by the sets themselves."""
-    pairs = stored(_may_be_alike(pairs, classes, similarity), "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(classes.select("node", "sig", F.col("cid").alias("id")).join(met, "node", "left_semi"), "wanted")
+def _members(nodes: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, members) of the distinct nodes: their sets, hashes cut to 32 bits, ascending."""
+    wanted = stored(classes.select("node", "sig", F.col("cid").alias("id")).join(nodes, "node", "left_semi"), "wanted")
     rows = wanted.join(only_ids(texts, wanted.select("id")), "id").select("node", "sig", "text")
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
             right = [xxh64_intdigest(h.tobytes(), 7) for h in sets] if sets else []  # rows that repeat an id may have other texts
             ok = np.array(right, np.uint64).view(np.int64) == b.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([np.unique(h.astype(np.uint32)).tobytes() for h, k in zip(sets, ok) if k], pa.binary())], ["node", "members"])
 
-    held = stored(rows.mapInArrow(members, "node long, members binary"), "sets").dropDuplicates(["node"])
+    return stored(rows.mapInArrow(run, "node long, members binary"), "sets").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have that Jaccard similarity, by the sets themselves."""
+    pairs = stored(_may_be_alike(pairs, classes, similarity), "pairs")
+    held = _members(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -534,6 +541,73 @@ def _pairs_within(buckets: DataFrame) -> DataFrame:
     return p.join(q, on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / math.log(LEVEL)).astype(np.int64)
+
+
+def prefix_keys(members: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place, longer) under which a set, its hashes in an order that all sets share, meets the sets that may be as alike as that.
+
+    Sets of m <= n hashes that are as alike have share * (m + n) in common, and what comes before the first of these is not in common: neither has it
+    behind the place that leaves so many. So the shorter one needs no place of more than n - 2 * share * n, the longer one, for each
+    level of the other's size, those that leave enough for it. Keys are the hash and the level of the shorter one's size."""
+    n, share = len(members), similarity / (1 + similarity)
+    own = np.arange(int(n - 2 * share * n + 1e-6) + 1)
+    at = np.arange(int(n - similarity * n + 1e-6) + 1)
+    most = _level(np.clip(np.floor((n - at) / share - n + 1e-6), 1, n))
+    keys, places = [members[own].astype(np.int64) | _level(np.array([n])) << 32], [own]
+    for level in range(int(_level(np.array([max(1, math.ceil(similarity * n - 1e-6))]))[0]), int(most[0]) + 1):
+        there = at[most >= level]
+        keys.append(members[there].astype(np.int64) | level << 32)
+        places.append(there)
+    key = np.concatenate(keys)
+    return key, np.concatenate(places), np.arange(len(key)) >= len(own)
+
+
+def _prefix_pairs(crowd: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of different roots among all sets of the buckets (key, node, size, root), whatever bucket they are in: all that are as
+    alike as that and few others, without all pairs of a bucket.
+
+    Each set is ordered by how often its hashes are in all these sets, counted in cells, seldom ones first; two meet in prefixes (prefix_keys). What a
+    crowd shares comes last: those that differ from it in more than a prefix meet nothing by it. Two that met in the hash before (`last`) don't meet again."""
+    nodes = crowd.select("node", "root").distinct()
+    held = _members(nodes.select("node"), classes, texts, shingle)
+
+    def cells_of(b: pa.RecordBatch) -> np.ndarray:
+        flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
+        return np.bincount(flat % (CELLS[0] * CELLS[1]), minlength=CELLS[0] * CELLS[1]).reshape(CELLS)
+
+    often = _sums(held.select("members"), *CELLS, cells_of).ravel().astype(np.int64)
+    names = ["key", "node", "root", "n", "at", "last", "longer"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*rows)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if name in ("n", "at") else c) for name, c in zip(names, cols)], names)
+
+        for b in batches:
+            for node, root, h in zip(*(b.column(i).to_pylist() for i in range(3))):
+                h = np.frombuffer(h, np.uint32)
+                h = h[np.lexsort((h, often[h % len(often)]))]
+                key, at, longer = prefix_keys(h, similarity)
+                rows.append((key, np.full(len(key), node), np.full(len(key), root), np.full(len(key), len(h)), at, np.where(at > 0, h[at - 1].astype(np.int64), -1 - longer), longer))
+                size += len(key)
+                if size > ROWS_OUT:
+                    yield out()
+                    rows, size = [], 0
+        if rows:
+            yield out()
+
+    met = stored(held.join(nodes, "node").select("node", "root", "members").mapInArrow(run, "key long, node long, root long, n int, at int, last long, longer boolean"), "prefixes")
+    x, y = met.where("not longer").alias("x"), met.where("longer").alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node"))
+    on &= (F.col("x.last") != F.col("y.last")) & (F.col("x.n") - F.col("x.at") >= need) & (F.col("y.n") - F.col("y.at") >= need)
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _stars(buckets: DataFrame, turn: int) -> DataFrame:
     """Distinct pairs (a, b) of one member of each bucket, another one each turn, with those of other roots."""
     pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "root"))
@@ -553,10 +627,17 @@ def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shing
     tell much, also meet exactly, in the hashes of their prefixes.
 
     Candidates meet in a bucket. In one of more than FEW, one member after another is compared with the rest, as long as that spares pairs (what is
-    in one component needs no comparison); then all pairs across components are. No pair is left out.
+    in one component needs no comparison). Then all pairs across components are, or, where these are very many, the sets of all such buckets meet in
+    prefixes, exactly (_prefix_pairs). No pair is left out.
     Copies are one class. Null and empty texts are alike; a null id is in no component (null) unless its text has others. Rows that
     repeat an id with different texts are rows of their own. No other columns are read.
     """
+    with passing(df.sparkSession):
+        return stored(_similar(df, text_col, id_col, shingle, similarity, miss), "components", stays=True)
+
+
+def _similar(df: DataFrame, text_col: str, id_col: str, shingle: int, similarity: float, miss: float) -> DataFrame:
+    """similar(), to be computed as long as its tables are there."""
     spark = df.sparkSession
     small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
@@ -584,8 +665,9 @@ def similar(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shing
         open_ = crowd.where(F.col("size") > FEW)
         rows, left = open_.groupBy("key").agg(F.max("m").alias("m"), F.max((F.col("m") * F.col("m") - F.col("own")) / 2).alias("left")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).head()
         turn += 1
-        last = turn > TURNS or left <= 8 * rows
-        pairs = _pairs_within(crowd if last else crowd.where(F.col("size") <= FEW))
+        crowded = left > 8 * rows
+        last = turn > TURNS or not crowded
+        pairs = _prefix_pairs(crowd, classes, texts, shingle, similarity) if last and crowded else _pairs_within(crowd if last else crowd.where(F.col("size") <= FEW))
         if not last:
             pairs = pairs.union(_stars(open_, turn)).distinct()
         found = found.union(_alike(pairs, classes, texts, shingle, similarity))
