@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 
 from tidemark.plans import Files, Leveled, Manifest, Run, SizeTiered, ranges_overlap, register_strategy
+from tidemark.plans.strategies import overlapping
 from tidemark.sources import LogStore, SortedStore, live_view, run_summary
 from tidemark.sources.log_store import latest_versions
 from tidemark.streaming import latest_stream, write_stream
@@ -207,6 +209,25 @@ def test_log_functions(spark):
     assert (s.entry_count, s.tombstone_count, s.key_min, s.key_max, s.lt_min, s.lt_max) == (6, 2, 1, 3, 1, 9)
 
 
+def test_strategies_take_a_step_for_each_run():
+    """Sums of a bucket and overlaps of very many runs; with a sum over the bucket for each run this took half a minute."""
+    rnd = random.Random(3)
+    runs = tuple(run(rnd.randint(2000, 2400), i, i + 5, i) for i in range(20_000))
+    began = time.perf_counter()
+    s = SizeTiered(0, 4, 0, 0.5, 1.5)
+    assert s.bucket(runs) == tuple(s.order(runs)) and set(s.next_job(runs).inputs) == set(runs)
+    halves = [Run(f"{i}", 1, 0, 1, 2 * i, 2 * i + 1, 0, 0, level) for level, n in ((0, 10_000), (1, 10_000)) for i in range(n)]
+    assert len(Leveled(0, 1, 1, 1, 2).next_job(tuple(halves)).inputs) == 2 * 9_999
+    assert time.perf_counter() - began < 5
+
+
+def test_overlapping_is_ranges_overlap():
+    rnd = random.Random(4)
+    for _ in range(300):
+        a, b = ([run(1, *(sorted(rnd.choices(range(12), k=2)) if rnd.random() < 0.9 else (None, None)), 0) for _ in range(rnd.randint(0, 6))] for _ in range(2))
+        assert overlapping(a, b) == [any(ranges_overlap(x, y) for y in b) for x in a]
+
+
 @pytest.mark.parametrize("rows,literal", [(7, 1000), (7, 0), (1000, 1000)])
 def test_sorted_store(spark, tmp_path, monkeypatch, rows, literal):
     monkeypatch.setattr("tidemark.sources.sorted_store.LITERAL_RANGES", literal)
