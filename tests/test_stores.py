@@ -2,6 +2,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import Files, Leveled, Manifest, Run, SizeTiered, ranges_overlap, register_strategy
 from tidemark.plans.strategies import overlapping
@@ -221,6 +222,35 @@ def test_strategies_take_a_step_for_each_run():
     assert time.perf_counter() - began < 5
 
 
+def test_leveled_passes_levels_at_once():
+    """Runs too many for their level go to the first one with room, with all that overlaps them on the way, in one merge."""
+    s = Leveled(0, 1, 100, 3, 2)
+    here = [run(100, 10 * i, 10 * i + 5, 9, level=0) for i in range(200)]
+    below = [run(100, 300 * n + 7, 300 * n + 8 * 2**n, n, level=n) for n in range(1, 7)]  # each overlaps some of them
+    last = run(100, 5000, 5009, 0, level=8)
+    job = s.next_job((*here, *below, last))
+    assert job.level == 7 and not job.move and not job.drop_tombstones and set(below) < set(job.inputs) and len(job.inputs) == 197 + 6
+    assert s.next_job((*here, *below)).drop_tombstones
+    flat = Leveled(0, 1, 100, 1, 1)  # no level ever has room: a new one is next
+    assert flat.next_job(tuple(here)).level == 1
+
+
+def test_runs_are_as_small_as_their_keys(spark, tmp_path, monkeypatch):
+    """Many runs of a merge: their Bloom filters are no larger than their keys ask for, and they are read by their folder."""
+    monkeypatch.setattr("tidemark.sources.log_store.FEW_PATHS", 2)
+    store = LogStore.create(spark, f"file://{tmp_path}/s", "long", "long", Leveled(10**9, 1, 2000, 3, 2))
+    for i in range(4):
+        store.append_run(spark.range(1500).select(F.col("id").alias("key"), F.lit(i).cast("long").alias("value"), (F.col("id") % 7 == i).alias("is_tombstone")))
+        store.compact()
+    made = [r for r in store.manifest.runs if r.level >= 0]
+    sizes = [f.stat().st_size for f in (tmp_path / "s" / "runs").rglob("*.parquet")]
+    assert len(made) > 8 and max(sizes) < 40_000
+    assert view(store) == {k: 3 for k in range(1500) if k % 7 != 3} and view(LogStore.open(spark, store.files.root)) == view(store)
+    assert store.get(keys(spark, range(3, 700, 100))).where("found").count() == len([k for k in range(3, 700, 100) if k % 7 != 3])
+    some = made[::2]
+    assert store._read(some).count() == sum(r.entry_count for r in some)
+
+
 def test_overlapping_is_ranges_overlap():
     rnd = random.Random(4)
     for _ in range(300):

@@ -22,6 +22,10 @@ from ..plans.strategies import CompactionStrategy, MergeJob, strategy_from
 
 LOG = ["key", "value", "is_tombstone", "logical_time"]
 BLOOM_FPP = 0.05  # false positives of a run's Bloom filter
+#: Its size follows a file's keys: of this many sizes, each half of the one before from 1 MB down, the least that serves. Parquet takes
+#: 1 MB for each file otherwise.
+BLOOM_SIZES = 15
+FEW_PATHS = 32  # files that are named one by one; of more, their folder is read and what isn't meant is left out
 
 
 def latest_versions(log: DataFrame) -> DataFrame:
@@ -140,12 +144,18 @@ class LogStore:
     def _commit(self, runs: list[Run], **kw) -> None:
         self.manifest = self.manifest.with_runs(runs, logical_time=self._clock, **kw).commit(self.files)
 
-    def _write(self, log: DataFrame, level: int, pieces: int | None) -> list[Run]:
+    def _write(self, log: DataFrame, level: int, pieces: int | None, entries: int = 0) -> list[Run]:
         """Sorted runs of a log with unique keys: so many ranges of keys of about the same size, each a file; without `pieces` one
-        run, a folder of as many files as its bytes ask for."""
+        run, a folder of as many files as its bytes ask for. More pieces than shuffle partitions: a task writes several, one after
+        another, each of its share of about so many entries."""
         path = self.files.at(f"runs/{uuid.uuid4().hex}")
-        placed = log.orderBy("key") if pieces is None else log.repartitionByRange(pieces, "key").sortWithinPartitions("key")
-        placed.write.options(**{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": str(BLOOM_FPP)}).parquet(path)
+        bloom = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": str(BLOOM_FPP), "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number#key": str(BLOOM_SIZES)}
+        if pieces is None:
+            log.orderBy("key").write.options(**bloom).parquet(path)
+        else:
+            tasks = min(pieces, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            rows = {} if tasks == pieces else {"maxRecordsPerFile": str(max(1, math.ceil(entries / pieces)))}
+            log.repartitionByRange(tasks, "key").sortWithinPartitions("key").write.options(**bloom, **rows).parquet(path)
         back = self.spark.read.schema(self.schema).parquet(path)
         if pieces is None:
             found = [("", r) for r in run_summary(back).where("entry_count > 0").collect()]
@@ -156,7 +166,26 @@ class LogStore:
     # reads
 
     def _read(self, runs) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*[r.path for r in runs]) if runs else self.spark.createDataFrame([], self.schema)
+        """The entries of runs. Many files of one folder are read by the folder: Spark would look up each path, and list very many in a job
+        of a task for each."""
+        paths, folders = [], {}
+        for r in runs:
+            folder, _, file = r.path.rpartition("/")
+            if folder.endswith("/runs"):
+                paths.append(r.path)
+            else:
+                folders.setdefault(folder, []).append(file)
+        tables = []
+        for folder, files in folders.items():
+            if len(files) <= FEW_PATHS:
+                paths += [f"{folder}/{f}" for f in files]
+                continue
+            table, name = self.spark.read.schema(self.schema).parquet(folder), F.col("_metadata.file_name")
+            others = sorted({n for n in self.files.names(folder) if n.endswith(".parquet")}.difference(files))
+            tables.append(table if not others else table.where(~name.isin(others) if len(others) < len(files) else name.isin(files)).select(*LOG))
+        if paths:
+            tables.append(self.spark.read.schema(self.schema).parquet(*paths))
+        return reduce(DataFrame.union, tables) if tables else self.spark.createDataFrame([], self.schema)
 
     def scan_run(self, run: Run) -> DataFrame:
         """All entries of one run, tombstones included, in key order."""
@@ -230,7 +259,7 @@ class LogStore:
         else:
             log = latest_versions(self._read(job.inputs))
             pieces = None if job.max_size is None else max(1, math.ceil(sum(r.size for r in job.inputs) / job.max_size))
-            made = self._write(log.where(~F.col("is_tombstone")) if job.drop_tombstones else log, job.level, pieces)
+            made = self._write(log.where(~F.col("is_tombstone")) if job.drop_tombstones else log, job.level, pieces, sum(r.entry_count for r in job.inputs))
         while True:
             try:
                 return self._commit([*(r for r in self.manifest.runs if r.path not in gone), *made])
