@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import OrderedMap, OrderedSet, asof, longest_prefix, merge_ranges, overlap_join
+from tidemark.operators import OrderedMap, OrderedSet, asof, ceil, floor, longest_prefix, merge_ranges, overlap_join
 
 few = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 SCHEMA = "key long, value long"
@@ -224,3 +224,15 @@ def test_bounds_of_one_hot_key(spark):
     assert 2000 < bounds[0] < 9000 and 31_000 < bounds[-1] < 38_000
     q = spark.createDataFrame([(6,), (7,), (8,), (39_999,)], "q long")
     assert sorted((r.q, r.found) for r in module.asof(q, df, key="k").collect()) == [(6, 5), (7, 7), (8, 7), (39_999, 39_999)]
+
+
+def test_asof_deals_probes_beyond_the_keys(spark, monkeypatch):
+    """Probes that lie after the last key, or that are very many, are no range of their own."""
+    module, seen = importlib.import_module("tidemark.operators.asof"), []
+    monkeypatch.setattr(module, "range_of", lambda bounds, *a, of=module.range_of: seen.append(bounds) or of(bounds, *a))
+    monkeypatch.setattr(module, "ROWS", 1000)
+    probes, keys = spark.range(10_000).select(F.col("id").alias("q")), spark.range(100).select(F.col("id").alias("key"))
+    for f, want in ((floor, lambda q: min(q, 99)), (ceil, lambda q: q if q < 100 else None)):
+        assert {r.q: r.found for r in f(probes, keys).collect()} == {q: want(q) for q in range(10_000)}
+        cuts = [0, *seen.pop(), 10_000]
+        assert len(cuts) > 9 and max(b - a for a, b in zip(cuts, cuts[1:])) < 2500

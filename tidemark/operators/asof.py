@@ -2,7 +2,7 @@
 
 Probes and keys are dealt to ranges; within a range a window carries the last key forward, and a range without an earlier
 key takes the best of the ranges before it, which is one value for each range. The bounds of the ranges come from a bounded
-sample and decide balance only, never results. Equal probes are searched once.
+sample of both and decide balance only, never results. Equal probes are searched once.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 #: Keys that are looked at for the bounds of each range.
 SAMPLE = 64
+#: Distinct keys and probes for each range, about, where the session's partitions would get more.
+ROWS = 1 << 20
 
 
-def range_bounds(keys: DataFrame, key: str, ranges: int) -> list:
-    """Up to ranges - 1 ascending bounds that cut the distinct keys about evenly. SAMPLE * ranges keys, chosen by a hash, reach the
-    driver at most, however often a key repeats."""
-    want = SAMPLE * ranges
+def range_bounds(keys: DataFrame, key: str, ranges: int, rows: int | None = None) -> list:
+    """Up to ranges - 1 ascending bounds that cut the distinct keys about evenly; more where ranges would have more than `rows` keys. SAMPLE
+    keys for each range, chosen by a hash, reach the driver at most, however often a key repeats."""
     k, by = keys.select(F.col(key).alias("k")).where("k is not null"), F.pmod(F.xxhash64("k"), F.lit(1 << 30))
     n = k.agg(F.approx_count_distinct("k")).head()[0]
+    ranges = max(ranges, n // rows) if rows else ranges
+    want = SAMPLE * ranges
     some = k if n <= want else k.where(by < int((1 << 30) * want / n))
     found = sorted(r[0] for r in some.distinct().orderBy(by, "k").limit(want).collect())
     return list(dict.fromkeys(found[i * len(found) // ranges] for i in range(1, ranges) if found))
@@ -54,9 +57,13 @@ def asof(probes: DataFrame, keys: DataFrame, probe: str = "q", key: str = "key",
     kind = probes.schema[probe].dataType
     k = keys.select(F.col(key).cast(kind).alias("p")).where("p is not null").distinct()
     q = probes.select(F.col(probe).alias("p")).where("p is not null").distinct()
-    ranges = ranges or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(keys.select(F.col(key).cast(kind).alias("p")), "p", ranges) if bounds is None else bounds
+    parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if bounds is None:
+        # of probes, too: those beyond the last key, or between two far apart, are dealt as evenly as others
+        bounds = range_bounds(keys.select(F.col(key).cast(kind).alias("p")).union(probes.select(F.col(probe).alias("p"))), "p", ranges or parts, None if ranges else ROWS)
     both = k.withColumn("probe", F.lit(False)).union(q.withColumn("probe", F.lit(True))).withColumn("range", range_of(bounds, F.col("p"), kind))
+    if len(bounds) + 1 > parts:
+        both = both.repartition(len(bounds) + 1, "range")
     own = F.when(~F.col("probe"), F.col("p"))
     # at an equal value the key comes first, in either direction
     w = Window.partitionBy("range").orderBy(F.col("p").desc() if forward else F.col("p").asc(), F.col("probe").asc()).rowsBetween(Window.unboundedPreceding, 0)
